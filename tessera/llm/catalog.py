@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, mixing, toxicity, urls
+from . import ann, bpe, langid, media, mixing, toxicity, urls
 from .common import read
 
 BPE_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -19,6 +19,10 @@ def vocab(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -46,7 +50,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_url_filter, op6_bpe, op7_mixing, op8_language_id, op10_media)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op4_url_filter, op6_bpe, op7_mixing, op8_language_id, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
