@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, media, mixing, toxicity, urls
+from . import ann, bpe, katz, langid, media, mixing, toxicity, urls
 from .common import read
 
 BPE_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -45,12 +45,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs, vocab(PIECE_FILE)), vocab(PIECE_FILE))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_as_media(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op4_url_filter, op6_bpe, op7_mixing, op8_language_id, op10_media)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op4_url_filter, op6_bpe, op7_mixing, op8_language_id, op9_lm_scoring, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:

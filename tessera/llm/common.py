@@ -141,3 +141,25 @@ def rows_of(batches: Iterable, *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of the named columns."""
     for b in batches:
         yield from zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+
+
+def slices(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, start, end) of sorted 64-bit keys cut into equal ranges of the key space; empty ones too."""
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    yield from zip(range(parts), at[:-1], at[1:], strict=True)
+
+
+def text_blocks(batches: Iterable, chars: int) -> Iterator[list[tuple]]:
+    """Rows of Arrow batches whose last column is a text, gathered until they hold enough characters."""
+    rows: list[tuple] = []
+    n = 0
+    for b in batches:
+        for r in rows_of([b], *b.schema.names):
+            rows.append(r)
+            n += len(r[-1] or "") + 16
+            if n >= chars:
+                yield rows
+                rows, n = [], 0
+    if rows:
+        yield rows
