@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, katz, langid, media, mixing, toxicity, urls
+from . import ann, bpe, jaccard, katz, langid, media, mixing, toxicity, urls
 from .common import read
 
 BPE_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -32,6 +32,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), vocab(BPE_FILE))
 
@@ -54,7 +58,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op4_url_filter, op6_bpe, op7_mixing, op8_language_id, op9_lm_scoring, op10_media)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op4_url_filter, op5_ngram_jaccard, op6_bpe, op7_mixing, op8_language_id, op9_lm_scoring, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
