@@ -6,17 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, jaccard, katz, langid, media, mixing, toxicity, urls
-from .common import read
+import corpus_pipeline
 
-BPE_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
-
-
-def vocab(name: str) -> str:
-    """A public tokenizer file's place on this machine; operators take the path as a parameter."""
-    import public_tokenizers
+from . import ann, bpe, jaccard, katz, langid, media, mixing, substrings, toxicity, urls
+from .common import read, vocab
 
-    return public_tokenizers.path(name)
+BPE_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(read(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
@@ -58,7 +57,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op4_url_filter, op5_ngram_jaccard, op6_bpe, op7_mixing, op8_language_id, op9_lm_scoring, op10_media)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_substring_dedup, op4_url_filter, op5_ngram_jaccard, op6_bpe, op7_mixing, op8_language_id, op9_lm_scoring, op10_media)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

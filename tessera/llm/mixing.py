@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from .common import WORD, settled
 
 BLOCK, SEED, SHARD_ROWS = 32, 20240229, 4096
+#: Beyond any count of blocks a shard can have, so that multiplying by it permutes block numbers.
+PRIME = 1000000007
 BUDGET, CAP, WEIGHTS = 1.5, 2.0, (3.0, 1.0, 2.0)
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): words a document, 0 for null."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, source, size): words a document, 0 for null; keep: columns to carry along."""
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD + "+")), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n.alias("size"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n.alias("size"), *(keep or []))
 
 
 def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
@@ -49,7 +51,7 @@ def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget:
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = rated.withColumn("used", F.sum("most").over(fill) - F.col("most")).withColumn("free", F.sum("weight").over(every) - F.sum("weight").over(fill) + F.col("weight")).withColumn("total", F.sum("source_size").over(every) * F.lit(budget))
     filled = filled.withColumn("share", (F.col("total") - F.col("used")) / F.col("free"))
-    filled = filled.withColumn("stop", F.min(F.when(F.col("share") <= F.col("level"), F.col("share"))).over(every))
+    filled = filled.withColumn("stop", F.max(F.when(F.col("share") <= F.col("level"), F.col("share"))).over(every))
     return filled.select("source", "source_size", F.least("most", F.coalesce(F.col("stop") * F.col("weight"), F.col("most"))).alias("target"))
 
 
@@ -80,11 +82,28 @@ def apportion(votes: DataFrame, within: list[str], seats: str, vote: str, order:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, **columns: str) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every document."""
+    """(doc_id, size, source_size, target, taken, source) for every document."""
+    return _placed(docs, False, block, seed, weights, budget, cap, **columns)
+
+
+def mixed_texts(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
+    """The mix itself, with the columns of docs: a document's text once for each whole pass, and once more with the words of its other blocks taken."""
+    j = _placed(docs.withColumn("_row", F.struct(*docs.columns)), True, block, seed, weights, budget, cap)
+    found = F.regexp_extract_all("_row.text", F.lit(f"({WORD})"), F.lit(1))
+    part = F.array_join(F.filter(found, lambda w, i: (F.pmod(F.pmod(F.floor((F.col("start") + i) / block).cast("long"), F.col("_count")) * F.lit(PRIME) + F.col("_shift"), F.col("_count")) < F.col("_rest"))), " ")
+    rest = F.col("taken") - F.col("size") * F.col("_passes")
+    texts = F.concat(F.array_repeat("_row.text", F.col("_passes").cast("int")), F.when(rest > 0, F.array(F.when(rest == F.col("size"), F.col("_row.text")).otherwise(part))).otherwise(F.array().cast("array<string>")))
+    out = j.filter("taken > 0").select("_row", F.explode(texts).alias("_text"))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*(made[c].alias(c) if c in made else F.col("_row")[c].alias(c) for c in docs.columns))
+
+
+def _placed(docs: DataFrame, whole_rows: bool, block: int, seed: int, weights: tuple[float, ...], budget: float, cap: float, **columns: str) -> DataFrame:
     sized = settled(sizes(docs, **columns))
     whole = sized.agg(F.count("*").alias("n")).first()["n"]
     shards = max(1, math.ceil(whole / SHARD_ROWS))
     mark = F.xxhash64("doc_id", F.lit(seed))
+    source = sizes(docs, keep=["_row"]) if whole_rows else sized
     sharded = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)))
     per_shard = settled(sharded.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")))
     per_source = targets(per_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, budget, cap)
@@ -97,6 +116,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[fl
     per_shard = settled(apportion(shard_votes, ["source"], "source_quota", "shard_size", ["shard"]))
 
     place = Window.partitionBy("source", "shard").orderBy(mark, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sharded = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)))
     placed = sharded.withColumn("start", F.coalesce(F.sum("size").over(place), F.lit(0)))
     s = per_shard.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "source_size", "target", "quota")
     j = placed.join(s, placed["source"].eqNullSafe(s["_s"]) & (placed["shard"] == s["_h"]))
@@ -106,9 +126,10 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[fl
     j = j.withColumn("_count", count).withColumn("_passes", F.floor(quota / count).cast("long")).withColumn("_rest", quota % count)
     j = j.withColumn("_shift", F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.col("_count")))
     # block numbers times a prime beyond any count of blocks, plus a seeded shift: a permutation
-    spun = lambda b: F.pmod(F.pmod(b, F.col("_count")) * F.lit(1000000007) + F.col("_shift"), F.col("_count"))
+    spun = lambda b: F.pmod(F.pmod(b, F.col("_count")) * F.lit(PRIME) + F.col("_shift"), F.col("_count"))
     overlap = lambda b: F.least(start + size, (b + 1) * block) - F.greatest(start, b * block)
     first, last = F.floor(start / block).cast("long"), F.floor((start + size - 1) / block).cast("long")
     some = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda a, b: a + F.when(spun(b) < F.col("_rest"), overlap(b)).otherwise(F.lit(0)))
     taken = F.when(size > 0, size * F.col("_passes") + some).otherwise(F.lit(0)).cast("long")
-    return j.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    j = j.withColumn("taken", taken)
+    return j if whole_rows else j.select("doc_id", "size", "source_size", "target", "taken", "source")

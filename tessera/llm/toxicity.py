@@ -174,3 +174,16 @@ def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text
 
     rows = docs.select(F.col(id_col).alias("k"), (crc_mod(F.col(id_col), 4) == 2).alias("held_out"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,p:double>>")
+
+
+def without_toxic(docs: DataFrame, model: dict[str, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score at or above the threshold; one pass, no join."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        weight, bias = Weights(sent.value), sent.value.get("", -30.0)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([score_text(t or "", weight, bias)[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
