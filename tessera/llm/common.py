@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import tempfile
@@ -35,6 +36,9 @@ def settled(df: DataFrame) -> DataFrame:
     The folder is spark.checkpoint.dir; one is set here only where none is configured (tests).
     """
     spark = df.sparkSession
+    # what earlier checkpoints made needless: shuffles go when the driver's JVM drops its last reference
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()

@@ -14,11 +14,12 @@ differ more than H at each stage, so both sets of such a pair reach the next one
 
 Signatures are exchanged as packed sorted hashes, a range of hashes a part. Sets that share one
 form groups; equal groups are kept once. A first round pairs every member with the group's least;
-a second pairs, inside each group, only members whose components still differ. Before texts meet, pairs must
-pass an exact bound: counts of elements by segment may differ by no more than H in all. What
-passes is verified exactly on the texts. Links then give components by label propagation.
-A set with H differences or fewer reaches the same class whichever of its links come first, so
-copies are never expanded into all pairs.
+the next rounds pair, inside each group, members whose components still differ, as least spanning
+forests over the pairs that were not refused yet, until no group has such a pair. So every pair of
+a group is verified or made needless by a path of links, and links come before pairs that fail.
+Before texts meet, pairs must pass an exact bound: counts of elements by cell, a dozen a segment, may differ by no more than
+H in all. What passes is verified exactly on the texts. Links give components by
+alternating star steps.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts of
 fewer words than a shingle are one shingle of all their words; rows that share an id are nodes
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, lower_words, mix, pack, pack_sorted, parts_for, settled, shingles, slices, text_blocks, unpack, unpack_sorted
 
-PERCENT, WORDS, BLOCK_CHARS = 80, 5, 16 << 20
+PERCENT, WORDS, BLOCK_CHARS, SMALL = 80, 5, 16 << 20, 8
+#: Cells of a sketch a segment: fine enough that an added and a lost element seldom meet in one.
+CELLS = 12
 
 
 def bands(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -123,7 +126,7 @@ def signatures(sets: Sets, lower: bool, percent: int = PERCENT) -> tuple[np.ndar
 
 
 def sketches(sets: Sets, percent: int = PERCENT) -> list[tuple[bytes, bytes]]:
-    """Each set's counts of elements by segment, in its own band's space and the one below."""
+    """Each set's counts of elements by cell of a segment, in its own band's space and the one below."""
     out = []
     start = np.cumsum(sets.size) - sets.size
     band = bands(np.maximum(sets.size, 1), percent)
@@ -131,7 +134,7 @@ def sketches(sets: Sets, percent: int = PERCENT) -> list[tuple[bytes, bytes]]:
         top = sets.h[a : a + n] >> np.uint64(32)
         pair = []
         for b in (band[d], band[d] - 1):
-            m = int(segments(np.array(max(b, 0)), percent))
+            m = CELLS * int(segments(np.array(max(b, 0)), percent))
             c = np.bincount((top * np.uint64(m) >> np.uint64(32)).astype(np.int64), minlength=m) if b >= 0 else np.zeros(0)
             pair.append(pack(np.minimum(c, 65535).astype(np.uint8 if c.max(initial=0) < 256 else np.uint16)))
         out.append(tuple(pair))
@@ -268,29 +271,82 @@ def profiles_of(docs: DataFrame, words: int, percent: int, chars: int) -> DataFr
     return docs.mapInArrow(run, "id long, n long, mark binary, own binary, low binary")
 
 
-def open_pairs(grouped: DataFrame, roots: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs inside a group whose roots differ and whose profiles pass the bound; members of one root aren't paired."""
-    each = grouped.filter(F.size("members") > 2).select("mark", F.explode("members").alias("id"))
-    each = each.join(profiles.select("id", "rep", "n", "own", "low"), "id").drop("id").dropDuplicates(["mark", "rep"])
-    each = each.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    split = each.groupBy("mark").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("mark")
+def nearest_tree(rep: np.ndarray, root: np.ndarray, n: np.ndarray, own: list, low: list, refused: list[set], percent: int) -> list[tuple[int, int]]:
+    """A least spanning forest of a group: edges between members of different roots that pass the bound and weren't refused.
+
+    Distances are the bound's; members of one root are joined already. At most one edge a member.
+    """
+    k = len(rep)
+    band = bands(n, percent)
+    at = {b: np.flatnonzero(band == b) for b in np.unique(band)}
+    owns = {b: np.stack([own[i] for i in x]).astype(np.int16) for b, x in at.items()}
+    lows = {b: np.stack([low[i] for i in x]).astype(np.int16) for b, x in at.items() if b - 1 in at}
+    far = np.iinfo(np.int64).max
+    best, source, out = np.full(k, far), np.full(k, -1), []
+    free = np.ones(k, bool)
+    u = 0
+    for _ in range(k):
+        free[u] = False
+        b = band[u]
+        for other in (b - 1, b, b + 1):
+            if other in at:
+                x = at[other]
+                mine = low[u] if other < b else own[u]
+                table = lows[other] if other > b else owns[other]
+                d = np.abs(table - mine.astype(np.int16)).sum(1, dtype=np.int64)
+                d[(d > most_apart(n[u], n[x], percent)) | (np.minimum(n[u], n[x]) * 100 < np.maximum(n[u], n[x]) * percent)] = far
+                if refused[u]:
+                    d[[int(rep[i]) in refused[u] for i in x]] = far
+                better = d < best[x]
+                best[x[better]], source[x[better]] = d[better], u
+        joined = root == root[u]
+        best[joined] = -1
+        left = np.flatnonzero(free)
+        if not len(left):
+            break
+        v = left[np.argmin(best[left])]
+        if 0 <= best[v] < far:
+            w = source[v]
+            out.append((min(int(rep[v]), int(rep[w])), max(int(rep[v]), int(rep[w]))))
+        u = v
+    return out
+
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["n", "rep"])
-        rep, root, n = g["rep"].to_numpy(), g["root"].to_numpy(), g["n"].to_numpy()
-        band, own, low = bands(n, percent), list(map(unpack, g["own"])), list(map(unpack, g["low"]))
-        out = []
-        for b in np.unique(band):
-            at = np.flatnonzero((band == b) | (band == b + 1))
-            table = np.stack([own[i] if band[i] == b else low[i] for i in at]).astype(np.int32)
-            for k in np.flatnonzero(band[at] == b):
-                i, rest = at[k], at[k + 1 :]
-                rest_at = np.flatnonzero((root[rest] != root[i]) & (n[rest] * percent <= n[i] * 100)) + k + 1
-                near = np.abs(table[rest_at] - table[k]).sum(1) <= most_apart(n[i], n[at[rest_at]], percent)
-                out += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in at[rest_at[near]]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def open_pairs(members: DataFrame, roots: DataFrame, refused: DataFrame, percent: int, forests: int = 1) -> DataFrame:
+    """(mark, a, b): the next pairs to verify, for each group of members(mark, rep, n, own, low) that has several roots.
 
-    return each.join(split, "mark").groupBy("mark").applyInPandas(run, "a long, b long").distinct()
+    Forests without a common edge, as many as asked for; all open pairs of a group of up to SMALL.
+    """
+    each = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    split = each.groupBy("mark").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("mark")
+    no = refused.union(refused.select("b", "a")).groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("no"))
+    row = F.struct("n", "rep", "root", "own", "low", "no")
+    packed = each.join(split, "mark").join(no, "rep", "left").groupBy("mark").agg(F.collect_list(row).alias("rows"))
+
+    def run(batches):
+        for batch in batches:
+            out, marks = [], []
+            for mark, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.sort(key=lambda r: (r["n"], r["rep"]))
+                sizes = [r["n"] for r in rows]
+                if any(x * 100 >= y * percent for x, y in zip(sizes, sizes[1:], strict=False)):
+                    col = lambda c: np.array([r[c] for r in rows], np.int64)
+                    rep, no = col("rep"), [set(r["no"] or ()) for r in rows]
+                    place = {int(x): i for i, x in enumerate(rep)}
+                    own, low = [unpack(r["own"]) for r in rows], [unpack(r["low"]) for r in rows]
+                    for _ in range(forests if len(rows) > SMALL else SMALL * SMALL):
+                        made = nearest_tree(rep, col("root"), col("n"), own, low, no, percent)
+                        if not made:
+                            break
+                        out += made
+                        marks += [mark] * len(made)
+                        for x, y in made:
+                            no[place[x]].add(y)
+                            no[place[y]].add(x)
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["mark", "a", "b"])
+
+    return packed.select("mark", "rows").mapInArrow(run, "mark binary, a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, chars: int = BLOCK_CHARS) -> DataFrame:
@@ -309,8 +365,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     same = usable.join(many, "id").filter("a <> rep").select("a", F.col("rep").alias("b"))
     links = settled(verify(first, texts, words, percent).union(same))
     roots = components(links)
-    rest = settled(open_pairs(grouped, roots, usable, percent).join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        roots = components(links.union(verify(rest, texts, words, percent)))
+    # members of groups of three or more, as representatives of their copies; a pair's one link was tried above
+    members = grouped.filter(F.size("members") > 2).select("mark", F.explode("members").alias("id")).join(usable.select("id", "rep", "n", "own", "low"), "id")
+    members = settled(members.drop("id").dropDuplicates(["mark", "rep"]))
+    refused = first.join(links, ["a", "b"], "left_anti")
+    forests = 1
+    while not (found := settled(open_pairs(members, roots, refused, percent, forests))).isEmpty():
+        rest = found.select("a", "b").distinct()
+        more = settled(verify(rest, texts, words, percent))
+        links = settled(links.union(more))
+        roots = components(links)
+        refused = settled(refused.union(rest.join(more, ["a", "b"], "left_anti")))
+        # a group without an open pair never has one again: roots only join and refusals only grow
+        members = settled(members.join(found.select("mark").distinct(), "mark"))
+        forests *= 4
     out = known.select("id", "n", F.coalesce("rep", "id").alias("rep"))
     return out.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
