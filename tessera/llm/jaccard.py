@@ -17,7 +17,7 @@ form groups; equal groups are kept once. A first round pairs every member with t
 the next rounds pair, inside each group, members whose components still differ, as least spanning
 forests over the pairs that were not refused yet, until no group has such a pair. So every pair of
 a group is verified or made needless by a path of links, and links come before pairs that fail.
-Before texts meet, pairs must pass an exact bound: counts of elements by cell, a dozen a segment, may differ by no more than
+Before texts meet, pairs must pass an exact bound: counts of elements by cell, three a segment, may differ by no more than
 H in all. What passes is verified exactly on the texts. Links give components by
 alternating star steps.
 
@@ -41,7 +41,7 @@ from .common import WordHash, lower_words, mix, pack, pack_sorted, parts_for, se
 
 PERCENT, WORDS, BLOCK_CHARS, SMALL = 80, 5, 16 << 20, 8
 #: Cells of a sketch a segment: fine enough that an added and a lost element seldom meet in one.
-CELLS = 12
+CELLS = 3
 
 
 def bands(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -312,8 +312,8 @@ def nearest_tree(rep: np.ndarray, root: np.ndarray, n: np.ndarray, own: list, lo
     return out
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, refused: DataFrame, percent: int, forests: int = 1) -> DataFrame:
-    """(mark, a, b): the next pairs to verify, for each group of members(mark, rep, n, own, low) that has several roots.
+def open_pairs(members: DataFrame, profiles: DataFrame, roots: DataFrame, refused: DataFrame, percent: int, forests: int = 1) -> DataFrame:
+    """(mark, a, b): the next pairs to verify, for each group of members(mark, rep) that has several roots.
 
     Forests without a common edge, as many as asked for; all open pairs of a group of up to SMALL.
     """
@@ -321,7 +321,7 @@ def open_pairs(members: DataFrame, roots: DataFrame, refused: DataFrame, percent
     split = each.groupBy("mark").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("mark")
     no = refused.union(refused.select("b", "a")).groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("no"))
     row = F.struct("n", "rep", "root", "own", "low", "no")
-    packed = each.join(split, "mark").join(no, "rep", "left").groupBy("mark").agg(F.collect_list(row).alias("rows"))
+    packed = each.join(split, "mark").join(profiles.filter("id = rep").select("rep", "n", "own", "low").dropDuplicates(["rep"]), "rep").join(no, "rep", "left").groupBy("mark").agg(F.collect_list(row).alias("rows"))
 
     def run(batches):
         for batch in batches:
@@ -366,11 +366,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     links = settled(verify(first, texts, words, percent).union(same))
     roots = components(links)
     # members of groups of three or more, as representatives of their copies; a pair's one link was tried above
-    members = grouped.filter(F.size("members") > 2).select("mark", F.explode("members").alias("id")).join(usable.select("id", "rep", "n", "own", "low"), "id")
-    members = settled(members.drop("id").dropDuplicates(["mark", "rep"]))
+    members = grouped.filter(F.size("members") > 2).select("mark", F.explode("members").alias("id")).join(usable.select("id", "rep"), "id")
+    members = settled(members.select("mark", "rep").distinct())
     refused = first.join(links, ["a", "b"], "left_anti")
     forests = 1
-    while not (found := settled(open_pairs(members, roots, refused, percent, forests))).isEmpty():
+    while not (found := settled(open_pairs(members, usable, roots, refused, percent, forests))).isEmpty():
         rest = found.select("a", "b").distinct()
         more = settled(verify(rest, texts, words, percent))
         links = settled(links.union(more))
