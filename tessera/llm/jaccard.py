@@ -17,9 +17,10 @@ form groups; equal groups are kept once. A first round pairs every member with t
 the next rounds pair, inside each group, members whose components still differ, as least spanning
 forests over the pairs that were not refused yet, until no group has such a pair. So every pair of
 a group is verified or made needless by a path of links, and links come before pairs that fail.
-Before texts meet, pairs must pass an exact bound: counts of elements by cell, three a segment, may differ by no more than
-H in all. What passes is verified exactly on the texts. Links give components by
-alternating star steps.
+Before texts meet, pairs must pass an exact bound: a sketch has a bit a cell, set where the cell
+holds an odd number of elements; each differing element turns one bit, so sketches of linked sets
+differ in no more than H bits. Cells are a power of two, so a finer sketch folds into a coarser.
+What passes is verified exactly on the texts. Links give components by alternating star steps.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts of
 fewer words than a shingle are one shingle of all their words; rows that share an id are nodes
@@ -33,15 +34,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, lower_words, mix, pack, pack_sorted, parts_for, settled, shingles, slices, text_blocks, unpack, unpack_sorted
 
 PERCENT, WORDS, BLOCK_CHARS, SMALL = 80, 5, 16 << 20, 8
-#: Cells of a sketch a segment: fine enough that an added and a lost element seldom meet in one.
-CELLS = 3
+#: Cells of a sketch an element, at least: fine enough that two differing elements seldom meet in one.
+CELLS = 2
+#: Ids that a broadcast may hold; more of them meet their texts in a shuffle.
+SENT_IDS = 1_000_000
+#: Open pairs a member of a group that are verified at once; groups with more go by forests.
+DENSE = 2
+#: Words of sketches that are compared at once.
+BLOCK_WORDS = 1 << 20
 
 
 def bands(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -125,45 +131,76 @@ def signatures(sets: Sets, lower: bool, percent: int = PERCENT) -> tuple[np.ndar
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def sketches(sets: Sets, percent: int = PERCENT) -> list[tuple[bytes, bytes]]:
-    """Each set's counts of elements by cell of a segment, in its own band's space and the one below."""
+def sketches(sets: Sets) -> list[bytes]:
+    """Each set's parities of elements by cell, as bits of 64-bit words, the lowest first."""
     out = []
     start = np.cumsum(sets.size) - sets.size
-    band = bands(np.maximum(sets.size, 1), percent)
-    for d, (a, n) in enumerate(zip(start, sets.size, strict=True)):
-        top = sets.h[a : a + n] >> np.uint64(32)
-        pair = []
-        for b in (band[d], band[d] - 1):
-            m = CELLS * int(segments(np.array(max(b, 0)), percent))
-            c = np.bincount((top * np.uint64(m) >> np.uint64(32)).astype(np.int64), minlength=m) if b >= 0 else np.zeros(0)
-            pair.append(pack(np.minimum(c, 65535).astype(np.uint8 if c.max(initial=0) < 256 else np.uint16)))
-        out.append(tuple(pair))
+    for a, n in zip(start, sets.size, strict=True):
+        cells = max(64, 1 << int(CELLS * n - 1).bit_length())
+        odd = np.bincount((sets.h[a : a + n] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+        out.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
     return out
 
 
-def index(docs: DataFrame, parts: int, words: int, percent: int, chars: int) -> DataFrame:
-    """(part, block, keys, at, ids): the signatures of each block by range of hashes, and whose they are; empty blocks too."""
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ, the finer one folded: no more than their sets differ in elements."""
+    bits = 8 * min(len(x), len(y))
+    both = []
+    for sketch in (x, y):
+        v, n = int.from_bytes(sketch, "little"), 8 * len(sketch)
+        while n > bits:
+            n //= 2
+            v = (v >> n) ^ (v & ((1 << n) - 1))
+        both.append(v)
+    return (both[0] ^ both[1]).bit_count()
+
+
+def may(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """Whether sets of these sizes and sketches may link."""
+    return min(n, m) * 100 >= max(n, m) * percent and apart(x, y) <= (n + m) * (100 - percent) // (100 + percent)
+
+
+def prepared(docs: DataFrame, parts: int, words: int, percent: int, chars: int) -> DataFrame:
+    """Two kinds of rows from one pass over (id, t), texts hashed once.
+
+    With a part: the signatures of a block in one range of hashes (keys), whose they are (at, ids); a block's
+    exact copies stand behind the least id. Without: (id, n, mark, sketch) of every row, that is set size, a 128-bit
+    digest of the set, and its sketch.
+    """
 
     def run(batches):
         hashes = WordHash()
         for n, rows in enumerate(text_blocks(batches, chars)):
-            rows = [r for r in {(k, t): 0 for k, t in rows if k is not None}]
-            once: dict[str, int] = {}
-            rows.sort(key=lambda r: r[0])
-            rows = [r for i, r in enumerate(rows) if once.setdefault(r[1] or "", i) == i]  # a block's exact copies stand behind the first
-            sets = Sets([t for _, t in rows], hashes, words)
+            owner: dict[str, int | None] = {}
+            for k, t in rows:
+                had = owner.setdefault(t or "", k)
+                if k is not None and (had is None or k < had):
+                    owner[t or ""] = k
+            texts = sorted((t for t, k in owner.items() if k is not None), key=owner.get)
+            ids = np.array([owner[t] for t in texts], np.int64)
+            texts += [t for t, k in owner.items() if k is None]
+            sets = Sets(texts, hashes, words)
+            marks = [xxhash.xxh3_128_digest(x.tobytes()) for x in np.split(sets.h, np.cumsum(sets.size)[:-1])]
+            place = dict(zip(texts, zip(sets.size.tolist(), marks, sketches(sets), strict=True), strict=True))
+            size, mark, sketch = zip(*(place[t or ""] for _, t in rows), strict=True)
+            yield batch(len(rows), id=[k for k, _ in rows], n=size, mark=mark, sketch=sketch)
             both = [signatures(sets, lower, percent) for lower in (False, True)]
             keys, at = np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both])
+            keys, at = keys[at < len(ids)], at[at < len(ids)]
             order = np.argsort(keys, kind="stable")
             keys, at = keys[order], at[order].astype(np.uint32)
-            ids = np.array([k for k, _ in rows], np.int64)
             for p, i, j in slices(keys, parts):
                 if i < j:
-                    use, place = np.unique(at[i:j], return_inverse=True)
-                    row = ([p], [TaskContext.get().partitionId() << 24 | n], [pack_sorted(keys[i:j])], [pack(place.astype(np.uint16 if len(use) < 1 << 16 else np.uint32))], [pack_sorted(ids[use].view(np.uint64))])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "keys", "at", "ids"])
+                    use, who = np.unique(at[i:j], return_inverse=True)
+                    who = who.astype(np.uint16 if len(use) < 1 << 16 else np.uint32)
+                    yield batch(1, part=[p], keys=[pack_sorted(keys[i:j])], at=[pack(who)], ids=[pack_sorted(ids[use].view(np.uint64))])
+
+    kinds = {"part": pa.int32(), "keys": pa.binary(), "at": pa.binary(), "ids": pa.binary(), "id": pa.int64(), "n": pa.int64(), "mark": pa.binary(), "sketch": pa.binary()}
+
+    def batch(rows: int, **have) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(have[c], t) if c in have else pa.nulls(rows, t) for c, t in kinds.items()], names=list(kinds))
 
-    return docs.mapInArrow(run, "part int, block long, keys binary, at binary, ids binary")
+    return docs.mapInArrow(run, "part int, keys binary, at binary, ids binary, id long, n long, mark binary, sketch binary")
 
 
 def groups(indexed: DataFrame) -> DataFrame:
@@ -197,25 +234,23 @@ def groups(indexed: DataFrame) -> DataFrame:
 
 def may_link(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), as representatives of their copies, whose profiles pass the exact bound."""
-    p = profiles.select("id", F.struct("rep", "n", "own", "low").alias("p"))
+    p = profiles.select("id", F.struct("rep", "n", "sketch").alias("p"))
     both = pairs.join(p.withColumnsRenamed({"id": "a", "p": "pa"}), "a").join(p.withColumnsRenamed({"id": "b", "p": "pb"}), "b")
     both = both.filter("pa.rep <> pb.rep").filter(F.least("pa.n", "pb.n") * 100 >= F.greatest("pa.n", "pb.n") * percent)
-    small, large = (F.when((F.col("pa.n") <= F.col("pb.n")) == first, F.col("pa")).otherwise(F.col("pb")) for first in (True, False))
 
     def run(batches):
         for t in batches:
-            keep = []
-            for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True):
-                band = bands(np.array([x["n"], y["n"]]), percent)
-                u, v = unpack(x["own"]), unpack(y["own"] if band[0] == band[1] else y["low"])
-                keep.append(len(u) == len(v) and int(np.abs(u.astype(np.int32) - v.astype(np.int32)).sum()) <= most_apart(x["n"], y["n"], percent))
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n, x, m, y = (t.column(c).to_pylist() for c in ("n", "x", "m", "y"))
+            yield t.select(["a", "b"]).filter(pa.array([may(*r, percent) for r in zip(n, x, m, y, strict=True)], pa.bool_()))
 
-    return both.select(F.col("pa.rep").alias("a"), F.col("pb.rep").alias("b"), small.alias("x"), large.alias("y")).mapInArrow(run, "a long, b long").distinct()
+    return both.select(F.col("pa.rep").alias("a"), F.col("pb.rep").alias("b"), F.col("pa.n").alias("n"), F.col("pa.sketch").alias("x"), F.col("pb.n").alias("m"), F.col("pb.sketch").alias("y")).mapInArrow(run, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their texts (id, t)."""
+    ids = settled(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    if ids.count() <= SENT_IDS:  # only texts that are asked for are exchanged
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     side = pairs.select(F.col("a").alias("id"), "a", "b").union(pairs.select(F.col("b"), "a", "b"))
     found = side.join(texts, "id").select("a", "b", (F.col("id") == F.col("a")).alias("left"), "t")
     both = found.filter("left").select("a", "b", F.col("t").alias("ta")).join(found.filter("not left").select("a", "b", F.col("t").alias("tb")), ["a", "b"])
@@ -258,70 +293,114 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def profiles_of(docs: DataFrame, words: int, percent: int, chars: int) -> DataFrame:
-    """(id, n, mark, own, low) for every row: set size, a 128-bit digest of the set, and sketches."""
-
-    def run(batches):
-        hashes = WordHash()
-        for rows in text_blocks(batches, chars):
-            sets = Sets([t for _, t in rows], hashes, words)
-            made = sketches(sets, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(sets.size, pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in np.split(sets.h, np.cumsum(sets.size)[:-1])], pa.binary()), pa.array([a for a, _ in made], pa.binary()), pa.array([b for _, b in made], pa.binary())], names=["id", "n", "mark", "own", "low"])
-
-    return docs.mapInArrow(run, "id long, n long, mark binary, own binary, low binary")
-
-
-def nearest_tree(rep: np.ndarray, root: np.ndarray, n: np.ndarray, own: list, low: list, refused: list[set], percent: int) -> list[tuple[int, int]]:
-    """A least spanning forest of a group: edges between members of different roots that pass the bound and weren't refused.
-
-    Distances are the bound's; members of one root are joined already. At most one edge a member.
-    """
-    k = len(rep)
-    band = bands(n, percent)
-    at = {b: np.flatnonzero(band == b) for b in np.unique(band)}
-    owns = {b: np.stack([own[i] for i in x]).astype(np.int16) for b, x in at.items()}
-    lows = {b: np.stack([low[i] for i in x]).astype(np.int16) for b, x in at.items() if b - 1 in at}
-    far = np.iinfo(np.int64).max
-    best, source, out = np.full(k, far), np.full(k, -1), []
-    free = np.ones(k, bool)
-    u = 0
-    for _ in range(k):
-        free[u] = False
-        b = band[u]
-        for other in (b - 1, b, b + 1):
-            if other in at:
-                x = at[other]
-                mine = low[u] if other < b else own[u]
-                table = lows[other] if other > b else owns[other]
-                d = np.abs(table - mine.astype(np.int16)).sum(1, dtype=np.int64)
-                d[(d > most_apart(n[u], n[x], percent)) | (np.minimum(n[u], n[x]) * 100 < np.maximum(n[u], n[x]) * percent)] = far
-                if refused[u]:
-                    d[[int(rep[i]) in refused[u] for i in x]] = far
+class Group:
+    """A group's members (n, rep, root, sketch, no) with their sketches by width, folded once too."""
+
+    def __init__(self, rows: list[dict], percent: int) -> None:
+        self.rep, self.root, self.n = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "root", "n"))
+        self.refused = [set(r["no"] or ()) for r in rows]
+        self.place = {int(x): i for i, x in enumerate(self.rep)}
+        self.percent = percent
+        width = np.array([len(r["sketch"]) // 8 for r in rows])
+        self.at = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+        self.row = np.empty(len(rows), np.int64)
+        self.width, self.bits, self.folded = width, {}, {}
+        for w, x in self.at.items():
+            self.row[x] = np.arange(len(x))
+            self.bits[w] = np.frombuffer(b"".join(rows[i]["sketch"] for i in x), "<u8").reshape(len(x), w)
+            self.folded[w] = self.bits[w][:, : w // 2] ^ self.bits[w][:, w // 2 :] if w > 1 else None
+
+    def distances(self, u: int):
+        """(members, differing bits) of each width that a set linked with u can have."""
+        w, i = int(self.width[u]), self.row[u]
+        for other in (w // 2, w, 2 * w):
+            if other in self.at:
+                mine = (self.folded if other < w else self.bits)[w][i]
+                table = (self.folded if other > w else self.bits)[other]
+                yield self.at[other], np.bitwise_count(table ^ mine).sum(1, dtype=np.int64)
+
+    def refuse(self, pairs: list[tuple[int, int]]) -> None:
+        for x, y in pairs:
+            self.refused[self.place[x]].add(y)
+            self.refused[self.place[y]].add(x)
+
+    def sparse(self) -> list[tuple[int, int]] | None:
+        """All open pairs, if they are no more than DENSE a member; else None."""
+        out, left = [], DENSE * len(self.n)
+        for w, x in self.at.items():
+            step = max(1, BLOCK_WORDS // (w * max(len(self.at.get(v, ())) for v in (w, 2 * w))))
+            for other in (w, 2 * w):
+                if other not in self.at:
+                    continue
+                y, table = self.at[other], (self.bits if other == w else self.folded)[other]
+                for a in range(0, len(x), step):
+                    u = x[a : a + step, None]
+                    fits = np.minimum(self.n[u], self.n[y]) * 100 >= np.maximum(self.n[u], self.n[y]) * self.percent
+                    fits &= self.root[u] != self.root[y]
+                    if other == w:
+                        fits &= u < y
+                    i, j = np.nonzero(fits)
+                    for c in range(0, len(i), max(1, BLOCK_WORDS // w)):
+                        k, m = i[c : c + max(1, BLOCK_WORDS // w)], j[c : c + max(1, BLOCK_WORDS // w)]
+                        d = np.bitwise_count(self.bits[w][a + k] ^ table[m]).sum(1, dtype=np.int64)
+                        near = d <= most_apart(self.n[x[a + k]], self.n[y[m]], self.percent)
+                        for p, q in zip(x[a + k[near]].tolist(), y[m[near]].tolist(), strict=True):
+                            r, t = int(self.rep[p]), int(self.rep[q])
+                            if t not in self.refused[p]:
+                                out.append((min(r, t), max(r, t)))
+                        if len(out) > left:
+                            return None
+        return out
+
+    def forest(self) -> list[tuple[int, int]]:
+        """A least spanning forest: edges between members of different roots that pass the bound and weren't refused.
+
+        Distances are the bound's; members of one root are joined already. At most one edge a member.
+        """
+        rep, n, far = self.rep, self.n, np.iinfo(np.int64).max
+        best, source, out = np.full(len(n), far), np.full(len(n), -1), []
+        free = np.ones(len(n), bool)
+        u = 0
+        while True:
+            free[u] = False
+            for x, d in self.distances(u):
+                d[(d > most_apart(n[u], n[x], self.percent)) | (np.minimum(n[u], n[x]) * 100 < np.maximum(n[u], n[x]) * self.percent)] = far
+                if self.refused[u]:
+                    d[np.isin(rep[x], list(self.refused[u]))] = far
                 better = d < best[x]
                 best[x[better]], source[x[better]] = d[better], u
-        joined = root == root[u]
-        best[joined] = -1
-        left = np.flatnonzero(free)
-        if not len(left):
-            break
-        v = left[np.argmin(best[left])]
-        if 0 <= best[v] < far:
-            w = source[v]
-            out.append((min(int(rep[v]), int(rep[w])), max(int(rep[v]), int(rep[w]))))
-        u = v
+            best[self.root == self.root[u]] = -1
+            left = np.flatnonzero(free)
+            if not len(left):
+                return out
+            v = left[np.argmin(best[left])]
+            if 0 <= best[v] < far:
+                pair = int(rep[v]), int(rep[source[v]])
+                out.append((min(pair), max(pair)))
+            u = v
+
+
+def small_group(rows: list[dict], percent: int) -> list[tuple[int, int]]:
+    """All open pairs of a small group."""
+    out = []
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            a, b = min(x["rep"], y["rep"]), max(x["rep"], y["rep"])
+            if x["root"] != y["root"] and y["rep"] not in (x["no"] or ()) and may(x["n"], x["sketch"], y["n"], y["sketch"], percent):
+                out.append((a, b))
     return out
 
 
 def open_pairs(members: DataFrame, profiles: DataFrame, roots: DataFrame, refused: DataFrame, percent: int, forests: int = 1) -> DataFrame:
     """(mark, a, b): the next pairs to verify, for each group of members(mark, rep) that has several roots.
 
-    Forests without a common edge, as many as asked for; all open pairs of a group of up to SMALL.
+    All open pairs of a group that has few, else forests without a common edge, as many as asked for.
     """
     each = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     split = each.groupBy("mark").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("mark")
     no = refused.union(refused.select("b", "a")).groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("no"))
-    row = F.struct("n", "rep", "root", "own", "low", "no")
-    packed = each.join(split, "mark").join(profiles.filter("id = rep").select("rep", "n", "own", "low").dropDuplicates(["rep"]), "rep").join(no, "rep", "left").groupBy("mark").agg(F.collect_list(row).alias("rows"))
+    row = F.struct("n", "rep", "root", "sketch", "no")
+    packed = each.join(split, "mark").join(profiles, "rep").join(no, "rep", "left").groupBy("mark").agg(F.collect_list(row).alias("rows"))
 
     def run(batches):
         for batch in batches:
@@ -329,20 +408,19 @@ def open_pairs(members: DataFrame, profiles: DataFrame, roots: DataFrame, refuse
             for mark, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows.sort(key=lambda r: (r["n"], r["rep"]))
                 sizes = [r["n"] for r in rows]
-                if any(x * 100 >= y * percent for x, y in zip(sizes, sizes[1:], strict=False)):
-                    col = lambda c: np.array([r[c] for r in rows], np.int64)
-                    rep, no = col("rep"), [set(r["no"] or ()) for r in rows]
-                    place = {int(x): i for i, x in enumerate(rep)}
-                    own, low = [unpack(r["own"]) for r in rows], [unpack(r["low"]) for r in rows]
-                    for _ in range(forests if len(rows) > SMALL else SMALL * SMALL):
-                        made = nearest_tree(rep, col("root"), col("n"), own, low, no, percent)
-                        if not made:
-                            break
-                        out += made
-                        marks += [mark] * len(made)
-                        for x, y in made:
-                            no[place[x]].add(y)
-                            no[place[y]].add(x)
+                if not any(x * 100 >= y * percent for x, y in zip(sizes, sizes[1:], strict=False)):
+                    continue
+                if len(rows) <= SMALL:
+                    made = small_group(rows, percent)
+                else:
+                    group = Group(rows, percent)
+                    if (made := group.sparse()) is None:
+                        made = []
+                        for _ in range(forests):
+                            made += (more := group.forest())
+                            group.refuse(more)
+                out += made
+                marks += [mark] * len(made)
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["mark", "a", "b"])
 
@@ -352,29 +430,31 @@ def open_pairs(members: DataFrame, profiles: DataFrame, roots: DataFrame, refuse
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    profiles = settled(profiles_of(rows, words, percent, chars))
+    made = settled(prepared(rows, parts_for(rows, "t"), words, percent, chars))
+    profiles = made.filter("part is null").select("id", "n", "mark", "sketch")
     # copies of one set stand behind the least of their ids
     copies = profiles.filter("id is not null and n > 0").groupBy("mark").agg(F.min("id").alias("rep"))
-    known = settled(profiles.join(copies, "mark", "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep"))))
-    usable = known.filter("id is not null and n > 0")
-    grouped = settled(groups(index(rows, parts_for(rows, "t"), words, percent, chars)))
+    known = settled(profiles.select("id", "n", "mark").join(copies, "mark", "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")))
+    usable = known.filter("id is not null and n > 0").select("id", "rep")
+    one = settled(profiles.filter("id is not null and n > 0").join(copies, "mark").filter("id = rep").select("rep", "n", "sketch").distinct())
+    grouped = settled(groups(made.filter("part is not null").select("part", "keys", "at", "ids")))
     star = grouped.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, 1 << 30)).alias("b")).distinct()
     texts = rows.filter("id is not null")
-    first = settled(may_link(star, usable, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    many = usable.select("id", "rep").distinct().groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("id", "a")
+    first = settled(may_link(star, usable.join(one, "rep"), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    many = usable.distinct().groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("id", "a")
     same = usable.join(many, "id").filter("a <> rep").select("a", F.col("rep").alias("b"))
     links = settled(verify(first, texts, words, percent).union(same))
     roots = components(links)
     # members of groups of three or more, as representatives of their copies; a pair's one link was tried above
-    members = grouped.filter(F.size("members") > 2).select("mark", F.explode("members").alias("id")).join(usable.select("id", "rep"), "id")
+    members = grouped.filter(F.size("members") > 2).select("mark", F.explode("members").alias("id")).join(usable, "id")
     members = settled(members.select("mark", "rep").distinct())
     refused = first.join(links, ["a", "b"], "left_anti")
-    forests = 1
-    while not (found := settled(open_pairs(members, usable, roots, refused, percent, forests))).isEmpty():
+    forests = 4
+    while not (found := settled(open_pairs(members, one, roots, refused, percent, forests))).isEmpty():
         rest = found.select("a", "b").distinct()
         more = settled(verify(rest, texts, words, percent))
-        links = settled(links.union(more))
-        roots = components(links)
+        if not more.isEmpty():
+            roots = components(more.union(roots.select("root", "id")))
         refused = settled(refused.union(rest.join(more, ["a", "b"], "left_anti")))
         # a group without an open pair never has one again: roots only join and refusals only grow
         members = settled(members.join(found.select("mark").distinct(), "mark"))
