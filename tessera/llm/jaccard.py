@@ -15,7 +15,8 @@ differ more than H at each stage, so both sets of such a pair reach the next one
 Signatures are exchanged as packed sorted hashes, a range of hashes a part. Sets that share one
 form groups; equal groups are kept once. A first round pairs every member with the group's least;
 the next rounds pair, inside each group, members whose components still differ, as least spanning
-forests over the pairs that were not refused yet, until no group has such a pair. So every pair of
+forests over the pairs that were not refused yet, until no group has such a pair. Members of a
+large group are dealt in blocks, and every two blocks meet in a task of their own. So every pair of
 a group is verified or made needless by a path of links, and links come before pairs that fail.
 Before texts meet, pairs must pass an exact bound: a sketch has a bit a cell, set where the cell
 holds an odd number of elements; each differing element turns one bit, so sketches of linked sets
@@ -46,6 +47,8 @@ CELLS = 2
 SENT_IDS = 1_000_000
 #: Open pairs a member of a group that are verified at once; groups with more go by forests.
 DENSE = 2
+#: Members of a group that one task holds, about half at most; larger groups are dealt in blocks, two of which meet in each task.
+TASK_MEMBERS = 4096
 #: Words of sketches that are compared at once.
 BLOCK_WORDS = 1 << 20
 
@@ -391,21 +394,27 @@ def small_group(rows: list[dict], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def open_pairs(members: DataFrame, profiles: DataFrame, roots: DataFrame, refused: DataFrame, percent: int, forests: int = 1) -> DataFrame:
+def open_pairs(members: DataFrame, profiles: DataFrame, roots: DataFrame, refused: DataFrame, percent: int, forests: int = 1, most: int = TASK_MEMBERS) -> DataFrame:
     """(mark, a, b): the next pairs to verify, for each group of members(mark, rep) that has several roots.
 
-    All open pairs of a group that has few, else forests without a common edge, as many as asked for.
+    All open pairs of a group that has few, else forests without a common edge, as many as asked for; of a group
+    that is dealt in blocks, those of every two blocks.
     """
     each = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    split = each.groupBy("mark").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("mark")
+    split = each.groupBy("mark").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c"))
+    split = split.filter("r0 <> r1").select("mark", F.when(F.col("c") <= most, 1).otherwise(F.ceil(F.col("c") * 2 / most)).cast("int").alias("k"))
+    block, other = F.pmod(F.xxhash64("rep"), F.col("k")), F.sequence(F.lit(0), F.col("k") - 1)
+    meets = F.transform(F.filter(other, lambda x: x != block), lambda x: F.least(x, block) * F.col("k") + F.greatest(x, block))
+    dealt = each.join(split, "mark").withColumn("cell", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"))).otherwise(meets)))
     no = refused.union(refused.select("b", "a")).groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("no"))
     row = F.struct("n", "rep", "root", "sketch", "no")
-    packed = each.join(split, "mark").join(profiles, "rep").join(no, "rep", "left").groupBy("mark").agg(F.collect_list(row).alias("rows"))
+    packed = dealt.join(profiles, "rep").join(no, "rep", "left").groupBy("mark", "cell").agg(F.collect_list(row).alias("rows"))
 
     def run(batches):
         for batch in batches:
             out, marks = [], []
-            for mark, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for mark, group in zip(*batch.columns, strict=True):  # one group's rows as objects at a time
+                mark, rows = mark.as_py(), group.as_py()
                 rows.sort(key=lambda r: (r["n"], r["rep"]))
                 sizes = [r["n"] for r in rows]
                 if not any(x * 100 >= y * percent for x, y in zip(sizes, sizes[1:], strict=False)):
@@ -427,7 +436,7 @@ def open_pairs(members: DataFrame, profiles: DataFrame, roots: DataFrame, refuse
     return packed.select("mark", "rows").mapInArrow(run, "mark binary, a long, b long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, chars: int = BLOCK_CHARS) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, chars: int = BLOCK_CHARS, most: int = TASK_MEMBERS) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     made = settled(prepared(rows, parts_for(rows, "t"), words, percent, chars))
@@ -450,7 +459,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     members = settled(members.select("mark", "rep").distinct())
     refused = first.join(links, ["a", "b"], "left_anti")
     forests = 4
-    while not (found := settled(open_pairs(members, one, roots, refused, percent, forests))).isEmpty():
+    while not (found := settled(open_pairs(members, one, roots, refused, percent, forests, most))).isEmpty():
         rest = found.select("a", "b").distinct()
         more = settled(verify(rest, texts, words, percent))
         if not more.isEmpty():

@@ -43,11 +43,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "chars"), [(1, 1 << 20), (2, 4000)])
-def test_against_brute_force(spark, seed, chars):
+@pytest.mark.parametrize(("seed", "chars", "most"), [(2, 4000, 4096), (3, 1 << 20, 6)])  # the last deals groups in blocks
+def test_against_brute_force(spark, seed, chars, most):
     rows = corpus(seed) + [(900, None), (901, ""), (902, " \n"), (None, "a b c d e f"), (903, "a b c d e f"), (904, "A B c d e f"), (905, "short one"), (906, "SHORT one"), (5, "other text for a repeated id it is"), (907, "other text for a repeated id it is")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, rep int").repartition(3)
-    got = jaccard.join(df, chars=chars).collect()
+    got = jaccard.join(df, chars=chars, most=most).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute(rows, 5, 80)
 
 
