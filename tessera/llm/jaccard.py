@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, lower_words, mix, pack, pack_sorted, parts_for, settled, shingles, slices, text_blocks, unpack, unpack_sorted
 
-PERCENT, WORDS, BLOCK_CHARS, SMALL = 80, 5, 16 << 20, 8
+PERCENT, WORDS, BLOCK_CHARS, SMALL = 80, 5, 4 << 20, 8
 #: Cells of a sketch an element, at least: fine enough that two differing elements seldom meet in one.
 CELLS = 2
 #: Ids that a broadcast may hold; more of them meet their texts in a shuffle.
