@@ -5,7 +5,8 @@ from each host to the domain above it and back (a subdomain stands in for its do
 link only within themselves). Edges are summed per pair of hosts before anything is dealt out, so
 a host with a third of all pages is one row from then on. Trust is personalised PageRank along
 the edges from hosts by the share of their pages that allow rules fit; distrust runs on the
-reversed edges from the share that block rules fit. A host is blocked if its distrust is at least
+reversed edges from the share that block rules fit. Rounds go on until no host's rank changes by more
+than TOLERANCE of itself in STEP rounds, so that every host that a seed reaches has its rank. A host is blocked if its distrust is at least
 RATIO times its trust and above LEAST.
 
 Defined results: null urls, and urls without "://", have an empty host and path; an empty host
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, settled
 
-DAMPING, ROUNDS, RATIO, LEAST = 0.85, 6, 1.0, 1e-12
+DAMPING, TOLERANCE, STEP, RATIO, LEAST = 0.85, 1e-3, 6, 1.0, 1e-12
 #: (pattern, verdict): a host without its subdomains, then a path prefix.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -57,7 +58,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, rank): personalised PageRank of seeds(kind, host, seed), each kind along its own edges.
 
     edges: (kind, src, dst, share), the shares of a source summing to 1. Rank that reaches a host
@@ -65,13 +66,17 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     """
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
     stays = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-    for i in range(rounds):
-        at = ranks.select(F.col("kind").alias("_kind"), F.col("host").alias("_host"), "rank")
-        sent = at.join(edges, (at["_kind"] == edges["kind"]) & (at["_host"] == edges["src"])).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        ranks = sent.union(stays).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % 3 == 2:
-            ranks = settled(ranks)
-    return ranks
+    while True:
+        before = ranks
+        for i in range(STEP):
+            at = ranks.select(F.col("kind").alias("_kind"), F.col("host").alias("_host"), "rank")
+            sent = at.join(edges, (at["_kind"] == edges["kind"]) & (at["_host"] == edges["src"])).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+            ranks = sent.union(stays).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            if i % 3 == 2:
+                ranks = settled(ranks)
+        both = before.select("kind", "host", F.col("rank").alias("old")).join(ranks, ["kind", "host"], "full").na.fill(0.0, ["old", "rank"])
+        if both.filter(F.abs(F.col("rank") - F.col("old")) > F.greatest("rank", "old") * tolerance).isEmpty():
+            return ranks
 
 
 def _shares(edges: DataFrame) -> DataFrame:

@@ -75,6 +75,16 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).collect() == []
 
 
+def test_urls_of_a_long_chain(spark):
+    # distrust goes against the links, from b.com down to the far end of the chain
+    pages = [("http://b.com/de/x", "")] + [(f"http://c{k}/", f'<a href="http://{f"c{k - 1}" if k else "b.com"}/">') for k in range(12)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert {r.verdict for r in got.values()} == {"block"}
+    ranks = [got[k].distrust for k in range(1, 13)]
+    assert all(y == pytest.approx(0.85 * x, rel=1e-2) for x, y in zip(ranks[:-1], ranks[1:]))
+
+
 def _labelled(n=900):
     r = random.Random(4)
     rows, labels = [], []
