@@ -382,8 +382,8 @@ def dictionary_unknown_ids(spark, d):
 
 @query(f"{_RUNS}, f AS (SELECT event_type AS variant, min(row_idx) AS first_row FROM e GROUP BY 1), i AS (SELECT variant, row_number() OVER (ORDER BY first_row) - 1 AS idx FROM f) SELECT start_row, idx, run FROM g JOIN i ON g.v = i.variant")
 def enum_runs(spark, d):
-    runs, seen = rle_encode_events(spark, d), enum_index_first_seen(spark, d).filter("idx < 256")
-    return runs.join(F.broadcast(seen), runs["v"] == seen["variant"]).select("start_row", "idx", "run")  # an enum has at most 256 variants
+    runs, seen = rle_encode_events(spark, d), enum_index_first_seen(spark, d)
+    return runs.join(seen, runs["v"] == seen["variant"]).select("start_row", "idx", "run")
 
 
 @query(f"WITH {_L}, c AS (SELECT chunk_id, 'l_returnflag' AS col, l_returnflag AS v FROM l UNION ALL SELECT chunk_id, 'l_linestatus', l_linestatus FROM l) SELECT col, CASE WHEN count(DISTINCT chunk_id) < 3 OR count(DISTINCT v) > 256 THEN 'None' WHEN count(DISTINCT v) > 4 AND count(*) >= 64 THEN 'EnumRans' ELSE 'Enum' END AS col_kind, count(DISTINCT v) AS n_variants, count(DISTINCT chunk_id) AS n_chunks FROM c GROUP BY col")

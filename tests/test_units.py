@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 from tessera.operators import entropy, jsonrel, ordered
 from tessera.operators.ordering import with_row_idx
+from tessera.plans import catalog
 from tessera.sources import columns, container
 from tessera.streaming.stateful import stream_cross_record, stream_dictionary
 
@@ -130,3 +131,11 @@ def test_streams(spark, tmp_path):
     got = {r.ord: r.same_flag for r in spark.table("cross").collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0, 7: 1}
     assert {(r.kind, r.value): r.cnt for r in spark.table("dict").collect()} == {("k0", "a"): 2, ("k0", "b"): 2, ("k1", "a"): 1, ("k1", "b"): 3}
+
+
+def test_enum_runs_keep_late_variants(spark, monkeypatch):
+    runs = spark.createDataFrame([(0, k, f"v{k}", 1) for k in range(300)], "chunk_id long, start_row long, v string, run long")
+    seen = spark.createDataFrame([(f"v{k}", k, k) for k in range(300)], "variant string, first_row long, idx long")
+    monkeypatch.setattr(catalog, "rle_encode_events", lambda spark, d: runs)
+    monkeypatch.setattr(catalog, "enum_index_first_seen", lambda spark, d: seen)
+    assert sorted((r.start_row, r.idx) for r in catalog.enum_runs(spark, "").collect()) == [(k, k) for k in range(300)]
