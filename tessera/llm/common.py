@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import re
@@ -9,6 +10,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,20 +32,41 @@ def vocab(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def released(spark: SparkSession) -> None:
+    """Frees what earlier checkpoints made needless: shuffles go when the driver's JVM drops its last reference to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df from a reliable checkpoint: lineage ends here and lost executors cost nothing before it.
 
-    The folder is spark.checkpoint.dir; one is set here only where none is configured (tests).
+    The folder is spark.checkpoint.dir; where none is configured, a local session gets a temporary one (tests) and a cluster is refused.
     """
     spark = df.sparkSession
-    # what earlier checkpoints made needless: shuffles go when the driver's JVM drops its last reference
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    released(spark)
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
 
 
+_MALLOC = None
+
+
+def spare() -> None:
+    """Gives a Python worker's free memory back to the system, as idle workers are kept."""
+    global _MALLOC
+    if _MALLOC is None:
+        try:
+            _MALLOC = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            _MALLOC = lambda _: 0
+    pa.default_memory_pool().release_unused()
+    _MALLOC(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -54,10 +77,10 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def parts_for(df: DataFrame, text: str, least: int = 8) -> int:
+def parts_for(df: DataFrame, text: str, least: int = 8, each: int = PART_BYTES) -> int:
     """How many parts an exchange needs so that each serves a bounded amount of text."""
     n = df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    return max(least, math.ceil(n / PART_BYTES))
+    return max(least, math.ceil(n / each))
 
 
 #: What str.split() takes for blanks beyond those of WORD.
