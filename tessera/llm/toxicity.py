@@ -4,13 +4,15 @@ A document's probability is the noisy-or of its sentences' logistic scores,
 1 - prod(1 - p(sentence)); only documents are labelled, and the gradient reaches each sentence
 through the product. A sentence's score is a bias plus the weights of its words; a word weighs
 what its own form and its prefixes of 4 to 7 letters weigh, so unseen endings of a known stem
-count. Features that are not clearly more frequent in positive documents weigh nothing.
+count. Features that are not clearly more frequent in positive documents weigh nothing, and a
+sentence without any weight has probability 0, so a text is not the more toxic for being long.
 
 The fit takes a bounded sample (POSITIVES and NEGATIVES labelled documents, those with the least
 hash of their id); scoring reads every document whole.
 
 Defined results: null, empty and blank texts score 0; without positive labels every score is 0;
-labels of one document that differ count as toxic. Repeated rows each get a row.
+labels of one document that differ count as toxic; of several texts of one id the least trains; rows
+with a null id are scored and never train. Repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, rows_of
+from .common import crc_mod, rows_of, spare
 
 POSITIVES, NEGATIVES, FEATURES, THRESHOLD = 2500, 5000, 20000, 0.3
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -76,7 +78,6 @@ def fit(texts: list[str], labels: list[int], most: int = FEATURES, steps: int =
     cols: list[int] = []
     rows: list[int] = []
     owner: list[int] = []
-    plain = np.zeros(len(docs))
     hits = {w: h for w, f in known.items() if (h := [index[x] for x in f if x in index])}
     for d, low in enumerate(docs):
         for a, b in sentences(low):
@@ -85,24 +86,21 @@ def fit(texts: list[str], labels: list[int], most: int = FEATURES, steps: int =
                 cols += found
                 rows += [len(owner)] * len(found)
                 owner.append(d)
-            else:
-                plain[d] += 1
     col, row, own = np.array(cols, np.int64), np.array(rows, np.int64), np.array(owner, np.int64)
     w = np.array([min(4.0, s) for *_, s in chosen])
-    bias, m, v = -10.0, np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    bias, m, v = -6.0, np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     weight = np.where(y > 0, neg / max(pos, 1), 1.0) / len(y)
     for step in range(1, steps + 1):
         z = bias + np.bincount(row, w[col], len(own)) if len(own) else np.empty(0)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        p0 = 1 / (1 + np.exp(-bias))
-        log_none = np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + plain * np.log1p(-p0)
+        log_none = np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))
         none = np.minimum(np.exp(log_none), 1 - 1e-9)
         pull = np.where(y > 0, -none / (1 - none), 1.0) * weight
         gz = pull[own] * p
-        grad = np.append(np.bincount(col, gz[row], len(w)) + 1e-4 * w, gz.sum() + (pull * plain).sum() * p0)
+        grad = np.append(np.bincount(col, gz[row], len(w)) + 1e-4 * w, gz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, bias = np.maximum(0.0, w - move[:-1]), min(-9.0, bias - move[-1])
+        w, bias = np.maximum(0.0, w - move[:-1]), bias - move[-1]
     return {f: float(x) for (_, f, _), x in zip(chosen, w, strict=True) if x > 0} | {"": float(bias)}
 
 
@@ -111,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y")).filter(crc_mod(F.col("k"), 4) != 2)
     order = [F.xxhash64("k"), F.col("k")]
     ids = known.filter("y > 0").orderBy(*order).limit(positives).union(known.filter("y <= 0").orderBy(*order).limit(negatives))
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(ids), "k").dropDuplicates(["k"])
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(ids), "k").groupBy("k").agg(F.max("y").alias("y"), F.min("t").alias("t"))
 
     def learn(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("k")
@@ -125,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 class Weights(dict):
     """word -> weight, remembered for a bounded number of words."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __init__(self, model: dict[str, float]) -> None:
         self.model = model
@@ -144,13 +142,12 @@ def score_text(text: str, weight: Weights, bias: float) -> tuple[float, list[tup
     low = text.lower()
     exact = len(low) == len(text)
     get = weight.__getitem__
-    found, n = [], 0
+    found = []
     for a, b in sentences(low):
-        n += 1
         if s := sum(map(get, low[a:b].split())):
             found.append((a, b, float(1 / (1 + np.exp(-min(30.0, bias + s))))))
-    logs = sum(np.log1p(-min(p, 1 - 1e-12)) for *_, p in found) + (n - len(found)) * np.log1p(-1 / (1 + np.exp(-bias)))
-    return float(1 - np.exp(logs)), found if exact else [(0, len(text), max((p for *_, p in found), default=0.0))] if found else []
+    logs = sum(np.log1p(-min(p, 1 - 1e-12)) for *_, p in found)
+    return float(abs(np.expm1(logs))), found if exact else [(0, len(text), max((p for *_, p in found), default=0.0))] if found else []
 
 
 def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -171,6 +168,8 @@ def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (batch.schema.field("k").type, pa.bool_(), pa.float64(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[id_col, "held_out", "score", "predicted", "offending"])
+        weight.clear()
+        spare()
 
     rows = docs.select(F.col(id_col).alias("k"), (crc_mod(F.col(id_col), 4) == 2).alias("held_out"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,p:double>>")
@@ -185,5 +184,7 @@ def without_toxic(docs: DataFrame, model: dict[str, float], text_col: str = "tex
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([score_text(t or "", weight, bias)[0] < threshold for t in texts], pa.bool_()))
+        weight.clear()
+        spare()
 
     return docs.mapInArrow(run, docs.schema)
