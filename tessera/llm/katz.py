@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, crc_mod, lower_words, mix, pack, pack_sorted, parts_for, settled, slices, text_blocks, unpack, unpack_sorted
+from .common import WordHash, crc_mod, lower_words, mix, pack, pack_sorted, parts_for, released, settled, slices, spare, text_blocks, unpack, unpack_sorted
 
 BLOCK_CHARS, LARGE = 16 << 20, 5
 START, END = np.uint64(0), np.uint64(1)
@@ -49,6 +49,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, chars: int = BLOCK_CHARS
             row = ([part << 24 | n], [[r[0] for r in rows]], [[r[1] for r in rows]], [pack(lens)], [pack(tokens)], [pack_sorted(vocab)])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "ids", "held", "lens", "tokens", "vocab"])
             n += 1
+        spare()
 
     held = F.coalesce(crc_mod(F.col(id_col), 7) == 2, F.lit(None))
     return docs.select(F.col(id_col).cast("long").alias("k"), held.alias("h"), F.col(text_col).alias("t")).mapInArrow(run, _BLOCK)
@@ -212,6 +213,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
         stats[kind] = (n[0], n[1], d, float(n[0] - small + sum(d[r] * r * n[1 + r] for r in range(1, LARGE + 1))))
     got = words.union(pairs).select("block", "kind", "part", "data")
     backoff = settled(history_totals(history_sums(stored, got, stats, parts)))
+    released(docs.sparkSession)  # the sums' shuffles, before blocks and answers meet once more
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
