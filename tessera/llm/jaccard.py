@@ -38,9 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, lower_words, mix, pack, pack_sorted, parts_for, settled, shingles, slices, text_blocks, unpack, unpack_sorted
+from .common import WordHash, lower_words, mix, pack, pack_sorted, parts_for, settled, shingles, slices, spare, text_blocks, unpack, unpack_sorted
 
 PERCENT, WORDS, BLOCK_CHARS, SMALL = 80, 5, 4 << 20, 8
+#: Bytes of text that one part of the exchange serves.
+PART_BYTES = 12 << 20
 #: Cells of a sketch an element, at least: fine enough that two differing elements seldom meet in one.
 CELLS = 2
 #: Ids that a broadcast may hold; more of them meet their texts in a shuffle.
@@ -197,6 +199,8 @@ def prepared(docs: DataFrame, parts: int, words: int, percent: int, chars: int)
                     use, who = np.unique(at[i:j], return_inverse=True)
                     who = who.astype(np.uint16 if len(use) < 1 << 16 else np.uint32)
                     yield batch(1, part=[p], keys=[pack_sorted(keys[i:j])], at=[pack(who)], ids=[pack_sorted(ids[use].view(np.uint64))])
+            del rows, texts, owner, sets, place, both, keys, at
+        spare()
 
     kinds = {"part": pa.int32(), "keys": pa.binary(), "at": pa.binary(), "ids": pa.binary(), "id": pa.int64(), "n": pa.int64(), "mark": pa.binary(), "sketch": pa.binary()}
 
@@ -229,6 +233,7 @@ def groups(indexed: DataFrame) -> DataFrame:
         known: dict[bytes, tuple[int, int]] = {}
         for a, c in zip(start, count, strict=True):
             known.setdefault(xxhash.xxh3_128_digest(ids[a : a + c].tobytes()), (a, c))
+        spare()
         return pd.DataFrame({"mark": list(known), "members": [ids[a : a + c] for a, c in known.values()]})
 
     made = indexed.groupBy("part").applyInPandas(meet, "mark binary, members array<long>")
@@ -274,6 +279,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(len(a) > 0 and 100 * common >= percent * (len(a) + len(b) - common))
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        spare()
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
@@ -432,6 +438,7 @@ def open_pairs(members: DataFrame, profiles: DataFrame, roots: DataFrame, refuse
                 marks += [mark] * len(made)
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["mark", "a", "b"])
+        spare()
 
     return packed.select("mark", "rows").mapInArrow(run, "mark binary, a long, b long")
 
@@ -439,7 +446,7 @@ def open_pairs(members: DataFrame, profiles: DataFrame, roots: DataFrame, refuse
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, chars: int = BLOCK_CHARS, most: int = TASK_MEMBERS) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    made = settled(prepared(rows, parts_for(rows, "t"), words, percent, chars))
+    made = settled(prepared(rows, parts_for(rows, "t", each=PART_BYTES), words, percent, chars))
     profiles = made.filter("part is null").select("id", "n", "mark", "sketch")
     # copies of one set stand behind the least of their ids
     copies = profiles.filter("id is not null and n > 0").groupBy("mark").agg(F.min("id").alias("rep"))
