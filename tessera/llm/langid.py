@@ -7,11 +7,11 @@ words of a bounded sample of SAMPLE training documents a language, those with th
 their id, one task a language. Scoring runs the forward algorithm once for each new word of a
 batch, for all words of one length and all languages together, and adds the words of a document.
 
-Words are runs of letters, lower-cased; characters that the vocabulary lacks are pieces of one
-small fixed probability in every language.
+Words are runs of letters of any length, lower-cased; sums are kept as logarithms, so that long ones do
+not underflow. Characters that the vocabulary lacks are pieces of one small fixed probability in every language.
 
 Defined results: null texts and texts without a letter are "und" with score 0, and so is every
-text if there is no training document. score is the posterior under equal priors; ties go to the
+text if there is no training document; rows with a null id are predicted and never train. score is the posterior under equal priors; ties go to the
 first language in code-point order. Repeated rows each get a row.
 """
 
@@ -26,30 +26,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, rows_of
+from .common import crc_mod, settled, spare
 
-SAMPLE, ROUNDS, LONGEST, CHARS = 300, 2, 10, 40
+SAMPLE, ROUNDS = 300, 2
+#: Sampled ids that a broadcast may hold; more of them (thousands of languages) meet their texts in a shuffle.
+SENT_IDS = 1_000_000
 UNKNOWN, FLOOR = 1e-7, 1e-9
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the usable pieces and their ids."""
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of all pieces that spell text, their ids, and the longest one's length."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [(sp.id_to_piece(i), i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    pieces = [(p, i) for p, i in pieces if 0 < len(p) <= LONGEST]
+    pieces = [(p, i) for p, i in pieces if p]
+    longest = max(len(p) for p, _ in pieces)
     h = np.zeros(len(pieces), np.uint64)
-    for n in range(1, LONGEST + 1):
+    for n in range(1, longest + 1):
         at = [k for k, (p, _) in enumerate(pieces) if len(p) == n]
         if at:
             codes = np.array([pieces[k][0] for k in at], f"U{n}").view(np.uint32).reshape(-1, n)
             h[at] = _hash(codes)
     order = np.argsort(h, kind="stable")
-    return h[order], np.array([i for _, i in pieces], np.int64)[order]
+    return h[order], np.array([i for _, i in pieces], np.int64)[order], longest
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -60,90 +63,115 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def lattice(codes: np.ndarray, hashes: np.ndarray):
-    """(start, end, rows, place) for all pieces in words of one length: which rows have the piece hashes[place] there."""
-    n = codes.shape[1]
-    for i in range(n):
-        h = np.zeros(len(codes), np.uint64)
-        for j in range(i, min(n, i + LONGEST)):
-            h = (h ^ codes[:, j].astype(np.uint64)) * _STEP
-            h ^= h >> np.uint64(32)
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            yield i, j + 1, hashes[at] == h, at
+def pieces_of(codes: np.ndarray, start: int, end: int, hashes: np.ndarray, longest: int) -> np.ndarray:
+    """Place in hashes of the piece of n + 1 characters that ends at each position from start to end, by (word, position, n); -1 where there is none."""
+    out = np.full((len(codes), end - start, longest), -1, np.int32)
+    low = max(0, start - longest + 1)
+    seg = codes[:, low:end].astype(np.uint64)
+    h = np.zeros(seg.shape, np.uint64)
+    for n in range(min(longest, seg.shape[1])):
+        h = (h[:, : seg.shape[1] - n] ^ seg[:, n:]) * _STEP
+        h ^= h >> np.uint64(32)
+        first = max(0, start - n - low)  # the piece that ends at start
+        part = h[:, first:]
+        at = np.minimum(np.searchsorted(hashes, part), len(hashes) - 1)
+        ends = low + first + n - start
+        out[:, ends : ends + part.shape[1], n] = np.where(hashes[at] == part, at, -1)
+    return out
+
+
+def by_length(words: list[str], cells: int = 1 << 15):
+    """(which, codes): words of one length with the mark of a word's start, as character codes; a bounded number of characters at once, one word at least."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    for n in np.unique(lengths).tolist():
+        every = np.flatnonzero(lengths == n)
+        step = max(1, cells // (n + 1))
+        for k in range(0, len(every), step):
+            which = every[k : k + step]
+            yield which, np.array(["▁" + words[i] for i in which], f"U{n + 1}").view(np.uint32).reshape(-1, n + 1)
+
 
+def log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over axis 1; at least one entry of each row is finite."""
+    most = x.max(1)
+    return most + np.log(np.exp(x - most[:, None]).sum(1))
 
-def log_likelihoods(words: list[str], hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """log P(word) of every word and language; table: probabilities by place in hashes and language."""
+
+def log_likelihoods(words: list[str], hashes: np.ndarray, table: np.ndarray, longest: int, cells: int = 1 << 15) -> np.ndarray:
+    """log P(word) of every word and language, over all segmentations; table: probabilities by place in hashes and language."""
     out = np.empty((len(words), table.shape[1]))
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
-        which = np.flatnonzero(lengths == n)
-        codes = np.array(["▁" + words[k] for k in which], f"U{n + 1}").view(np.uint32).reshape(-1, n + 1)
-        alpha = np.zeros((n + 2, len(which), table.shape[1]))
-        alpha[0] = 1.0
-        for i, j, hit, at in lattice(codes, hashes):
-            rows = np.flatnonzero(hit)
-            if len(rows):
-                alpha[j, rows] += alpha[i, rows] * table[at[rows]]
-            if j == i + 1 and len(rows) < len(hit):
-                alpha[j, ~hit] += alpha[i, ~hit] * UNKNOWN
-        out[which] = np.log(np.maximum(alpha[n + 1], 1e-300))
+    logs = np.vstack([np.log(table), np.full((1, table.shape[1]), -np.inf)])  # -1: no piece
+    for which, codes in by_length(words, cells):
+        n = codes.shape[1]
+        # the last positions' sums, the nearest first
+        back = np.full((len(which), longest, table.shape[1]), -np.inf)
+        back[:, 0] = 0.0
+        step = max(1, cells // len(which))
+        for start in range(0, n, step):
+            place = pieces_of(codes, start, min(n, start + step), hashes, longest)
+            arcs = logs[place]
+            arcs[:, :, 0][place[:, :, 0] < 0] = np.log(UNKNOWN)
+            for j in range(place.shape[1]):
+                here = log_sum(back + arcs[:, j])
+                back[:, 1:] = back[:, :-1].copy()
+                back[:, 0] = here
+        out[which] = back[:, 0]
     return out
 
 
 def split_words(text: str) -> list[str]:
-    """Lower-cased runs of letters; runs above CHARS are cut there, so that probabilities stay above underflow."""
-    found = _LETTERS.findall(text.lower())
-    if len(text) > CHARS and any(len(w) > CHARS for w in found):
-        found = [w[i : i + CHARS] for w in found for i in range(0, len(w), CHARS)]
-    return found
+    """Lower-cased runs of letters."""
+    return _LETTERS.findall(text.lower())
 
 
-def fit(counts: dict[str, int], hashes: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities, by place in hashes, after rounds of expectation maximisation."""
+def fit(counts: dict[str, int], hashes: np.ndarray, longest: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities, by place in hashes, after rounds of expectation maximisation over all segmentations."""
     words = sorted(counts)
     weight = np.array([counts[w] for w in words], np.float64)
     prob = np.full(len(hashes), 1 / len(hashes))
-    lengths = np.array([len(w) for w in words], np.int64)
-    groups = []
-    for n in np.unique(lengths):
-        which = np.flatnonzero(lengths == n)
-        codes = np.array(["▁" + words[k] for k in which], f"U{n + 1}").view(np.uint32).reshape(-1, n + 1)
-        arcs = [(i, j, np.flatnonzero(hit), at[hit], np.flatnonzero(~hit) if j == i + 1 else None) for i, j, hit, at in lattice(codes, hashes)]
-        groups.append((n + 1, which, [a for a in arcs if len(a[2]) or a[4] is not None]))
+    groups = [(which, pieces_of(codes, 0, codes.shape[1], hashes, longest)) for which, codes in by_length(words)]
     for _ in range(rounds):
         expected = np.zeros(len(hashes))
-        for n, which, arcs in groups:
-            alpha, beta = np.zeros((n + 1, len(which))), np.zeros((n + 1, len(which)))
-            alpha[0] = beta[n] = 1.0
-            for i, j, rows, at, rest in arcs:
-                alpha[j, rows] += alpha[i, rows] * prob[at]
-                if rest is not None:
-                    alpha[j, rest] += alpha[i, rest] * UNKNOWN
-            for i, j, rows, at, rest in reversed(arcs):
-                beta[i, rows] += beta[j, rows] * prob[at]
-                if rest is not None:
-                    beta[i, rest] += beta[j, rest] * UNKNOWN
-            total = np.maximum(alpha[n], 1e-300)
-            for i, j, rows, at, _ in arcs:
-                np.add.at(expected, at, weight[which[rows]] * alpha[i, rows] * prob[at] * beta[j, rows] / total[rows])
+        with np.errstate(divide="ignore"):
+            logs = np.append(np.log(prob), -np.inf)
+        for which, place in groups:
+            rows, n, _ = place.shape
+            arcs = logs[place]
+            arcs[:, :, 0][place[:, :, 0] < 0] = np.log(UNKNOWN)
+            # ahead[j + longest - 1]: all ways to position j; behind[j]: all ways from there to the end
+            ahead, behind = np.full((rows, n + longest), -np.inf), np.full((rows, n + longest), -np.inf)
+            ahead[:, longest - 1] = behind[:, n] = 0.0
+            for j in range(n):
+                ahead[:, j + longest] = log_sum(ahead[:, j : j + longest][:, ::-1] + arcs[:, j])
+            for j in range(n - 1, -1, -1):
+                far = np.minimum(j + np.arange(longest), n - 1)
+                onward = np.where(j + np.arange(longest) < n, arcs[:, far, np.arange(longest)], -np.inf)
+                behind[:, j] = log_sum(onward + behind[:, j + 1 : j + 1 + longest])
+            total = ahead[:, n + longest - 1]
+            for k in range(min(longest, n)):  # arcs of k + 1 characters that end at k + 1, k + 2, ...
+                part = np.exp(ahead[:, longest - 1 : longest - 1 + n - k] + arcs[:, k:, k] + behind[:, k + 1 : n + 1] - total[:, None]) * weight[which][:, None]
+                at = place[:, k:, k]
+                expected += np.bincount(at[at >= 0], part[at >= 0], len(hashes))
         prob = expected / max(expected.sum(), 1e-300)
     return np.maximum(prob, FLOOR)
 
 
 def train(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order and their table; what comes to the driver is at most the vocabulary times the languages."""
-    known = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("y")).filter("y is not null and t is not null").filter(F.coalesce(crc_mod(F.col("k"), 5), F.lit(1)) != 0)
-    ids = known.select("k", "y").withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))).filter(F.col("r") <= sample).select("k", "y").distinct()
-    picked = known.join(ids.withColumnRenamed("k", "k2").withColumnRenamed("y", "y2"), F.expr("k = k2 and y = y2")).select("k", "y", "t")
+    known = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("y")).filter("y is not null and t is not null").filter(crc_mod(F.col("k"), 5) != 0)
+    ids = known.select("k", "y").withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))).filter(F.col("r") <= sample).select(F.col("k").alias("k2"), F.col("y").alias("y2")).distinct()
+    ids = settled(ids)
+    if ids.count() <= SENT_IDS:  # only texts that are asked for are exchanged
+        ids = F.broadcast(ids)
+    picked = known.join(ids, F.expr("k = k2 and y = y2")).select("k", "y", "t")
 
     def learn(g: pd.DataFrame) -> pd.DataFrame:
-        hashes, _ = vocabulary(vocab)
+        hashes, _, longest = vocabulary(vocab)
         counts: dict[str, int] = {}
         for t in g["t"]:
             for w in split_words(t):
                 counts[w] = counts.get(w, 0) + 1
-        prob = fit(counts, hashes)
+        prob = fit(counts, hashes, longest)
         at = np.flatnonzero(prob > FLOOR)
         return pd.DataFrame({"y": g["y"].iloc[0], "at": [at.astype("<i4").tobytes()], "p": [prob[at].tobytes()]})
 
@@ -160,10 +188,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str, id
     langs, table = model
     sent = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    limit, slice_chars = 1 << 19, 1 << 20
+    limit, slice_chars = 1 << 18, 1 << 20
 
     def run(batches):
-        hashes, _ = vocabulary(vocab)
+        hashes, _, longest = vocabulary(vocab)
         table = sent.value.astype(np.float64)
         place: dict[str, int] = {}
         logs = np.empty((0, table.shape[1]))
@@ -177,7 +205,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str, id
             new = list({w for ws in split for w in ws if w not in place})
             if new:
                 place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-                made = [log_likelihoods(new[i : i + 4096], hashes, table) for i in range(0, len(new), 4096)]
+                made = [log_likelihoods(new[i : i + 4096], hashes, table, longest) for i in range(0, len(new), 4096)]
                 logs = np.concatenate([logs, *made])
             out = []
             for ws in split:
@@ -199,6 +227,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str, id
                     start, n = k + 1, 0
             names, scores = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(held, pa.bool_()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
+        place.clear()
+        spare()
 
     rows = docs.select(F.col(id_col).alias("k"), (crc_mod(F.col(id_col), 5) == 0).alias("held_out"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
