@@ -61,9 +61,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, rank): personalised PageRank of seeds(kind, host, seed), each kind along its own edges.
 
-    edges: (kind, src, dst, share), the shares of a source summing to 1. Rank that reaches a host
-    without edges ends there.
+    edges: (kind, src, dst, share), the shares of a source summing to 1. The seeds of a kind sum to 1,
+    and so do its ranks: what reaches a host without edges goes back to the seeds, which is the same as
+    scaling the ranks of a walk that ends there.
     """
+    whole = seeds.groupBy(F.col("kind").alias("_kind")).agg(F.sum("seed").alias("_sum"))
+    seeds = settled(seeds.join(F.broadcast(whole), F.col("kind") == F.col("_kind")).select("kind", "host", (F.col("seed") / F.col("_sum")).alias("seed")))  # two rows
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
     stays = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
     while True:
@@ -76,7 +79,8 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
                 ranks = settled(ranks)
         both = before.select("kind", "host", F.col("rank").alias("old")).join(ranks, ["kind", "host"], "full").na.fill(0.0, ["old", "rank"])
         if both.filter(F.abs(F.col("rank") - F.col("old")) > F.greatest("rank", "old") * tolerance).isEmpty():
-            return ranks
+            whole = ranks.groupBy(F.col("kind").alias("_kind")).agg(F.sum("rank").alias("_sum"))
+            return ranks.join(F.broadcast(whole), F.col("kind") == F.col("_kind")).select("kind", "host", (F.col("rank") / F.col("_sum")).alias("rank"))
 
 
 def _shares(edges: DataFrame) -> DataFrame:
