@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: an HNSW graph per shard, flat neighbour arrays, merged results.
 
-Vectors are dealt to shards of about SHARD rows by a hash of their id. One task builds a shard's
-graph: levels are drawn from the id, and each layer is filled in batches that search the layer so
+Vectors are dealt to shards of about SHARD rows by a hash of their id; of large tables, to shards that grow
+with the table up to what a task holds. Vectors whose norms differ by more than a factor of 2 ** BAND are in different
+shards, as a graph is built over single-precision angles. One task builds a shard's graph: levels are drawn from the id, and each layer is filled in batches that search the layer so
 far (and each other) and link both ways under the diversity rule. A layer is a flat
 int32 array of neighbour places, padded with -1. Inner products are turned into distances by the
 usual extra coordinate that gives all vectors of a shard one length. Equal vectors of a shard are
@@ -13,7 +14,8 @@ double precision, and the K best of all shards are ranked per query.
 
 Defined results: vectors that are null, empty, all zero or hold null or non-finite components take
 no part; a vector meets only vectors of its own dimension; of rows that share a vec_id, the one
-with the least vector bytes counts; ties go to the smaller vec_id; an empty table gives no rows.
+with the least array counts; ties go to the smaller vec_id; an empty table gives no rows. Components
+may be of any finite size: vectors are scaled by powers of two, and only a score itself can be infinite.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-K, SHARD, BLOCK = 20, 6000, 4096
+K, SHARD, BLOCK = 20, 6000, 16384
+#: Up to SHARDS shards have SHARD rows; beyond, shards grow with the table, to MOST_BYTES of vectors in a task.
+SHARDS, MOST_BYTES, BAND = 256, 64 << 20, 8
 LINKS, BREADTH, SEARCH, BATCH = 16, 64, 96, 256
 
 
@@ -203,31 +207,50 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return mix(a + np.uint64(0x9E3779B97F4A7C15))
 
 
+def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors divided by powers of two, exactly, so that their largest components lie in [0.5, 1); and the powers."""
+    power = np.frexp(np.abs(v).max(1))[1].astype(np.int64)
+    half = power // 2  # in two steps, as 2 ** -power may not be a double
+    return np.ldexp(np.ldexp(v, -half[:, None]), -(power - half)[:, None]), power
+
+
 def lifted(v: np.ndarray) -> np.ndarray:
     """v with one more coordinate, all of one length: nearest by angle is then largest by inner product."""
+    unit, power = scaled(v)
+    v = np.ldexp(unit, (power - power.max(initial=0) if len(power) else power)[:, None])
     sq = (v.astype(np.float64) ** 2).sum(1)
     top = sq.max(initial=0.0) or 1.0
     return (np.concatenate([v, np.sqrt(np.maximum(top - sq, 0))[:, None]], 1) / math.sqrt(top)).astype(np.float32)
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v, dim) of the rows that take part."""
+    """(vec_id, v, dim, band) of the rows that take part, the least array of each id; band: norms within a factor of 2 ** BAND."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).dropna()
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.filter(finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+    rows = rows.filter(finite & F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    most = F.array_max(F.transform("v", F.abs))
+    return rows.withColumn("dim", F.size("v")).withColumn("band", F.floor(F.log2(most) / BAND).cast("int"))
+
+
+def shards_for(rows: int, dim: int, shard_rows: int = SHARD) -> int:
+    """Shards of a band: of shard_rows rows up to SHARDS of them, then larger ones up to MOST_BYTES each."""
+    return max(1, math.ceil(rows / max(shard_rows, min(math.ceil(rows / SHARDS), MOST_BYTES // (8 * dim)))))
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
-    """The index table: one row a shard (dim, shard, ids, vectors, nodes and links of each layer, as flat arrays)."""
-    shards = max(1, math.ceil(vectors.count() / shard_rows))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    """The index table: one row a shard (dim, band, shard, ids, vectors, nodes and links of each layer, as flat arrays)."""
+    sizes = vectors.groupBy("dim", "band").agg(F.count("*").alias("n")).collect()  # bands are at most 2200 / BAND a dimension
+    most = F.lit(1)
+    for r in sizes:
+        if (n := shards_for(r["n"], r["dim"], shard_rows)) > 1:
+            most = F.when((F.col("dim") == r["dim"]) & (F.col("band") == r["band"]), n).otherwise(most)
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), most).cast("int"))
 
     def make(g: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(g["v"].to_numpy())
         ids = g["vec_id"].to_numpy()
         raw = np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * 8))).ravel()
-        order = np.lexsort((np.unique(raw, return_inverse=True)[1], ids))
-        order = order[np.append(True, ids[order][1:] != ids[order][:-1])]
+        order = np.argsort(ids, kind="stable")
         ids, v, raw = ids[order], v[order], raw[order]
         _, first, node = np.unique(raw, return_index=True, return_inverse=True)
         again = np.argsort(first)
@@ -235,17 +258,17 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
         rank[again] = np.arange(len(again))
         node, x = rank[node].astype(np.int32), lifted(v[np.sort(first)])
         layers = build(x, ids[np.sort(first)])
-        return pd.DataFrame({"dim": [v.shape[1]], "shard": [g["shard"].iloc[0]], "ids": [ids.tobytes()], "vectors": [v.tobytes()], "node_of": [node.tobytes()], "nodes": [[a.nodes.tobytes() for a in layers]], "links": [[a.links.tobytes() for a in layers]], "width": [[a.links.shape[1] for a in layers]]})
+        return pd.DataFrame({"dim": [v.shape[1]], "band": [g["band"].iloc[0]], "shard": [g["shard"].iloc[0]], "ids": [ids.tobytes()], "vectors": [v.tobytes()], "node_of": [node.tobytes()], "nodes": [[a.nodes.tobytes() for a in layers]], "links": [[a.links.tobytes() for a in layers]], "width": [[a.links.shape[1] for a in layers]]})
 
-    return settled(dealt.groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, ids binary, vectors binary, node_of binary, nodes array<binary>, links array<binary>, width array<int>"))
+    return settled(dealt.groupBy("dim", "band", "shard").applyInPandas(make, "dim int, band int, shard int, ids binary, vectors binary, node_of binary, nodes array<binary>, links array<binary>, width array<int>"))
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = K, ef: int = SEARCH, block_rows: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products among all rows but those of its own id."""
     blocks = max(1, math.ceil(queries.count() / block_rows))
-    shards = max(1, (index.agg(F.max("shard").alias("s")).first()["s"] or 0) + 1)
+    every = index.select(F.col("dim").alias("_dim"), F.col("band").alias("_band"), F.col("shard").alias("_shard"))
     asked = queries.select("dim", F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = asked.join(F.broadcast(every), F.col("dim") == F.col("_dim")).select("dim", F.col("_band").alias("band"), F.col("_shard").alias("shard"), "block", "query_id", "v")  # a row a shard
     offered = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -256,11 +279,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = K, ef: int = SEA
         v = np.frombuffer(s["vectors"]).reshape(len(ids), -1)
         node = np.frombuffer(s["node_of"], np.int32)
         layers = [Layer(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32).reshape(-1, w)) for a, b, w in zip(s["nodes"], s["links"], s["width"], strict=True)]
-        q, qid = np.stack(right["v"].to_numpy()), right["query_id"].to_numpy()
+        v, power = scaled(v)
+        q, high = scaled(np.stack(right["v"].to_numpy()))
+        qid = right["query_id"].to_numpy()
         order = np.argsort(node, kind="stable")
         first = np.searchsorted(node[order], np.arange(int(node.max()) + 2))
         rep = order[first[:-1]]
-        x = lifted(v[rep])
+        x = lifted(np.ldexp(v[rep], (power[rep] - power.max())[:, None]))
         norm = np.linalg.norm(q, axis=1)
         unit = np.concatenate([q / norm[:, None], np.zeros((len(q), 1))], 1).astype(np.float32)
         out = []
@@ -271,12 +296,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = K, ef: int = SEA
                 # k + 1 copies of a node are enough: the least ids come first
                 rows = np.concatenate([order[first[m] : min(first[m + 1], first[m] + k + 1)] for m in nodes])
                 rows = rows[ids[rows] != qid[a + i]]
-                score = (v[rows] * q[a + i]).sum(1)
+                with np.errstate(over="ignore"):
+                    score = np.ldexp((v[rows] * q[a + i]).sum(1), power[rows] + high[a + i])
                 best = np.lexsort((ids[rows], -score))[:k]
                 out.append(pd.DataFrame({"query_id": qid[a + i], "vec_id": ids[rows[best]], "score": score[best]}))
         return pd.concat(out)
 
-    pairs = offered.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(look, "query_id long, vec_id long, score double")
+    pairs = offered.groupBy("dim", "band", "shard", "block").cogroup(asked.groupBy("dim", "band", "shard", "block")).applyInPandas(look, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -284,6 +310,5 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = K, ef: int = SEA
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = K) -> DataFrame:
     """Each row whose id is divisible by every, against all rows."""
     rows = usable(df, id_col, vec_col)
-    asked = rows.filter(F.col("vec_id") % every == 0)
-    asked = asked.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    return search_index(build_index(rows), asked, k)
+    rows = settled(rows)
+    return search_index(build_index(rows), rows.filter(F.col("vec_id") % every == 0), k)
