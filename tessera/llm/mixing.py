@@ -9,8 +9,9 @@ takes whole passes over the blocks and then those that come first under a seeded
 block numbers, which is computed where a document's own blocks are, without a sort or shuffle.
 
 A shard is a hash class of documents, so a hot source is dealt out over as many shards as the rows
-need. Only sizes, never texts, are shuffled; what is broadcast or ranked alone has one row a
-source or a few a shard.
+need. mix() shuffles only sizes; mixed_texts() sends each row once to its shard. What is broadcast or
+ranked alone has one row a source or a few a shard. Rows of equal ids and sizes stand in order of a hash of
+their texts, so reruns agree.
 
 Defined results: null or blank texts have size 0 and take 0; a source of size 0 has target 0; an
 empty table gives no rows. Repeated rows are documents of their own.
@@ -32,9 +33,9 @@ BUDGET, CAP, WEIGHTS = 1.5, 2.0, (3.0, 1.0, 2.0)
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, source, size): words a document, 0 for null; keep: columns to carry along."""
+    """(doc_id, source, size, tie): words a document, 0 for null; tie: a hash of the text; keep: columns to carry along."""
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD + "+")), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n.alias("size"), *(keep or []))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n.alias("size"), F.xxhash64(text_col).alias("tie"), *(keep or []))
 
 
 def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
@@ -86,15 +87,17 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[fl
     return _placed(docs, False, block, seed, weights, budget, cap, **columns)
 
 
-def mixed_texts(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
+def mixed_texts(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself, with the columns of docs: a document's text once for each whole pass, and once more with the words of its other blocks taken."""
-    j = _placed(docs.withColumn("_row", F.struct(*docs.columns)), True, block, seed, weights, budget, cap)
-    found = F.regexp_extract_all("_row.text", F.lit(f"({WORD})"), F.lit(1))
+    base = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    j = _placed(base, True, block, seed, weights, budget, cap)
+    text = F.col("_row")[text_col]
+    found = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.filter(found, lambda w, i: (F.pmod(F.pmod(F.floor((F.col("start") + i) / block).cast("long"), F.col("_count")) * F.lit(PRIME) + F.col("_shift"), F.col("_count")) < F.col("_rest"))), " ")
     rest = F.col("taken") - F.col("size") * F.col("_passes")
-    texts = F.concat(F.array_repeat("_row.text", F.col("_passes").cast("int")), F.when(rest > 0, F.array(F.when(rest == F.col("size"), F.col("_row.text")).otherwise(part))).otherwise(F.array().cast("array<string>")))
+    texts = F.concat(F.array_repeat(text, F.col("_passes").cast("int")), F.when(rest > 0, F.array(F.when(rest == F.col("size"), text).otherwise(part))).otherwise(F.array().cast("array<string>")))
     out = j.filter("taken > 0").select("_row", F.explode(texts).alias("_text"))
-    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    made = {text_col: F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return out.select(*(made[c].alias(c) if c in made else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
@@ -104,7 +107,7 @@ def _placed(docs: DataFrame, whole_rows: bool, block: int, seed: int, weights: t
     shards = max(1, math.ceil(whole / SHARD_ROWS))
     mark = F.xxhash64("doc_id", F.lit(seed))
     source = sizes(docs, keep=["_row"]) if whole_rows else sized
-    sharded = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)))
+    sharded = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed + 1)), F.lit(shards)))
     per_shard = settled(sharded.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")))
     per_source = targets(per_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, budget, cap)
     one = F.lit(1).alias("all")
@@ -115,8 +118,8 @@ def _placed(docs: DataFrame, whole_rows: bool, block: int, seed: int, weights: t
     shard_votes = per_shard.join(q, per_shard["source"].eqNullSafe(q["_s"])).drop("_s")
     per_shard = settled(apportion(shard_votes, ["source"], "source_quota", "shard_size", ["shard"]))
 
-    place = Window.partitionBy("source", "shard").orderBy(mark, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    sharded = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)))
+    place = Window.partitionBy("source", "shard").orderBy(mark, "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    sharded = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed + 1)), F.lit(shards)))
     placed = sharded.withColumn("start", F.coalesce(F.sum("size").over(place), F.lit(0)))
     s = per_shard.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "source_size", "target", "quota")
     j = placed.join(s, placed["source"].eqNullSafe(s["_s"]) & (placed["shard"] == s["_h"]))
