@@ -65,8 +65,17 @@ def _header(data: bytes, count: int) -> tuple[list[int], int]:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """PBM, PGM and PPM (plain and raw, 8 bits) and uncompressed 8-, 24- and 32-bit BMP as uint8 arrays."""
-    data = bytes(data)
+    """PBM, PGM and PPM (plain and raw, 8 bits) and uncompressed 8-, 24- and 32-bit BMP as uint8 arrays; ValueError for anything else."""
+    try:
+        a = _decoded(bytes(data))
+    except (IndexError, OverflowError, MemoryError) as e:  # samples beyond a palette or 8 bits, sizes beyond all bytes
+        raise ValueError(str(e)) from e
+    if not a.size:
+        raise ValueError("an image without samples")
+    return a
+
+
+def _decoded(data: bytes) -> np.ndarray:
     if data[:2] == b"BM":
         return _bmp(data)
     if len(data) < 3 or data[:1] != b"P" or data[1:2] not in (b"1", b"2", b"3", b"4", b"5", b"6"):
@@ -85,7 +94,7 @@ def decode(data: bytes) -> np.ndarray:
             a = 1 - np.unpackbits(np.frombuffer(data, np.uint8, line * h, at).reshape(h, line), axis=1)[:, :w].ravel()
         a = a * np.uint8(255)
     else:
-        a = np.array(data[at:].split()[:n], np.uint8) if plain else np.frombuffer(data, np.uint8, n, at) if len(data) >= at + n else np.empty(0, np.uint8)
+        a = _plain(data[at:].split()[:n], most[0]) if plain else np.frombuffer(data, np.uint8, n, at) if len(data) >= at + n else np.empty(0, np.uint8)
         if most[0] != 255:
             a = (a.astype(np.uint16) * 255 // most[0]).astype(np.uint8)
     if len(a) < n:
@@ -93,6 +102,14 @@ def decode(data: bytes) -> np.ndarray:
     return a.reshape((h, w, 3) if planes == 3 else (h, w))
 
 
+def _plain(found: list[bytes], most: int) -> np.ndarray:
+    """Samples written as decimal numbers."""
+    a = np.array([int(x) for x in found], np.int64)
+    if len(a) and not 0 <= a.min() <= a.max() <= most:
+        raise ValueError("a sample is out of range")
+    return a.astype(np.uint8)
+
+
 def _bmp(data: bytes) -> np.ndarray:
     if len(data) < 54:
         raise ValueError("broken BMP header")
@@ -106,7 +123,10 @@ def _bmp(data: bytes) -> np.ndarray:
     a = np.frombuffer(data, np.uint8, line * rows, start).reshape(rows, line)[:, : w * bits // 8]
     a = a[::-1] if h > 0 else a
     if bits == 8:
-        table = np.frombuffer(data, np.uint8, start - 14 - word(14), 14 + word(14)).reshape(-1, 4)[:, 2::-1]
+        size = start - 14 - word(14)
+        if size < 4 or size % 4:
+            raise ValueError("broken palette")
+        table = np.frombuffer(data, np.uint8, size, 14 + word(14)).reshape(-1, 4)[:, 2::-1]
         return np.ascontiguousarray(table[a])
     return np.ascontiguousarray(a.reshape(rows, w, bits // 8)[:, :, 2::-1])
 

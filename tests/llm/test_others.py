@@ -129,7 +129,7 @@ def test_language_id(spark):
 
 
 def test_forward_sums_all_segmentations():
-    hashes, _ = langid.vocabulary(vocab("piece_bpe_32k.model"))
+    hashes, _, longest = langid.vocabulary(vocab("piece_bpe_32k.model"))
     table = np.random.default_rng(1).uniform(1e-4, 1e-2, (len(hashes), 2))
     import sentencepiece
 
@@ -140,14 +140,14 @@ def test_forward_sums_all_segmentations():
         if s == "":
             return 1.0
         total = 0.0
-        for n in range(1, min(len(s), langid.LONGEST) + 1):
+        for n in range(1, min(len(s), longest) + 1):
             h = int(langid._hash(np.array([s[:n]], f"U{n}").view(np.uint32).reshape(1, n))[0])
             p = table[place[h], lang] if h in place else langid.UNKNOWN if n == 1 else 0.0
             total += p * prob(s[n:], lang) if p else 0.0
         return total
 
-    words = ["der", "stand", "日本"]
-    got = langid.log_likelihoods(words, hashes, table)
+    words = ["der", "stand", "日本", "unverständlichkeiten"]
+    got = langid.log_likelihoods(words, hashes, table, longest)
     for k, w in enumerate(words):
         for lang in (0, 1):
             assert got[k, lang] == pytest.approx(np.log(prob("▁" + w, lang)), rel=1e-9)
