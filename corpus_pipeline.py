@@ -19,13 +19,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the least id stays, and one row of an id."""
+    """Of each group of linked documents the one of the least id stays, and the least row of an id."""
     found = settled(jaccard.join(docs))
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+    named, row = kept.filter("doc_id is not null"), F.struct("text", *[c for c in kept.columns if c != "text"])
+    return named.groupBy("doc_id").agg(F.min(row).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in kept.columns]).union(kept.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Training, exact set joins and merges are beyond SQL; tests hold each stage against brute force.
+#: Training, exact set joins and merges are beyond SQL; tests hold the stages against brute force on small tables.
 ORACLE_SQL = None
 
 
