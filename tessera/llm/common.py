@@ -32,14 +32,18 @@ def vocab(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Whether Spark deletes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def released(spark: SparkSession) -> None:
-    """Frees what earlier checkpoints made needless: shuffles go when the driver's JVM drops its last reference to them."""
+    """Lets go of checkpoints that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint: lineage ends here and lost executors cost nothing before it.
+    """df from a reliable checkpoint: lineage ends here, lost executors cost nothing before it, and its shuffle files go at once.
 
     The folder is spark.checkpoint.dir; where none is configured, a local session gets a temporary one (tests) and a cluster is refused.
     """
@@ -49,7 +53,12 @@ def settled(df: DataFrame) -> DataFrame:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 _MALLOC = None
