@@ -94,11 +94,19 @@ def json_quote(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
-def canonical_json(c: Column) -> Column:
-    """Keys sorted, blanks dropped; null where the text isn't JSON."""
-    return F.to_json(F.try_parse_json(c))
-
-
 def bit_width_ceil(c: Column) -> Column:
     """log2 of the next power of two."""
     return F.when(c <= 1, F.lit(0)).otherwise(F.length(F.bin(c - 1))).cast("long")
+
+
+def varint_hex(c: Column) -> Column:
+    """The LEB128 bytes of the unsigned view of a long, as hexadecimal digits."""
+    n = varint_length(c).cast("int")
+    seven = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftrightunsigned", c, i * 7).bitwiseAND(F.lit(127).cast("long")) + F.when(i < n - 1, 128).otherwise(0))
+    return F.array_join(F.transform(seven, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+
+
+def varint_from_hex(c: Column) -> Column:
+    """The long of varint_hex()."""
+    at = F.sequence(F.lit(0), (F.length(c) / 2 - 1).cast("int"))
+    return F.aggregate(at, F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", F.conv(F.substring(c, i * 2 + 1, F.lit(2)), 16, 10).cast("long").bitwiseAND(F.lit(127).cast("long")), i * 7)))

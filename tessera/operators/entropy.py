@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,3 +224,150 @@ def ctw_decode(blob: bytes, n: int, depth: int = 8) -> bytes:
             byte = byte << 1 | bit
         out.append(byte)
     return bytes(out)
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _varint_at(b: bytes, at: int) -> tuple[int, int]:
+    n = shift = 0
+    while True:
+        if at >= len(b):
+            raise ValueError("unexpected end")
+        x = b[at]
+        at += 1
+        n |= (x & 127) << shift
+        if x < 128:
+            return n, at
+        shift += 7
+
+
+def slot_table(freq: dict[int, int], bits: int = 12) -> list[int]:
+    """The symbol of every slot; refuses frequencies that are not positive or do not fill all slots."""
+    if any(f <= 0 for f in freq.values()) or sum(freq.values()) != 1 << bits:
+        raise ValueError("frequencies must be positive and fill all slots")
+    return [s for s in sorted(freq) for _ in range(freq[s])]
+
+
+def table_bytes(freq: dict[int, int], bits: int = 12) -> bytes:
+    """A frequency table as bytes: slots' bits, symbols, then (distance from the symbol before, frequency - 1) of each."""
+    out, last = bytearray([bits]) + _varint(len(freq)), -1
+    for s in sorted(freq):
+        out += _varint(s - last - 1) + _varint(freq[s] - 1)
+        last = s
+    return bytes(out)
+
+
+def table_at(blob: bytes, at: int = 0) -> tuple[dict[int, int], int, int]:
+    """(frequencies, bits, end) of a table's bytes; refuses those that do not fill their slots."""
+    if at >= len(blob):
+        raise ValueError("unexpected end")
+    bits = blob[at]
+    if not 1 <= bits <= 16:
+        raise ValueError("bits of a frequency table out of range")
+    n, at = _varint_at(blob, at + 1)
+    freq, last = {}, -1
+    for _ in range(n):
+        gap, at = _varint_at(blob, at)
+        f, at = _varint_at(blob, at)
+        last += gap + 1
+        freq[last] = f + 1
+    slot_table(freq, bits)
+    return freq, bits, at
+
+
+def coded(data: bytes) -> bytes:
+    """data as length, frequency table and rANS stream: all that a second process needs."""
+    if not data:
+        return b"\0"
+    raw: dict[int, int] = {}
+    for x in data:
+        raw[x] = raw.get(x, 0) + 1
+    freq = scaled(raw)
+    return _varint(len(data)) + table_bytes(freq) + rans_encode(data, freq)
+
+
+def uncoded(blob: bytes) -> bytes:
+    n, at = _varint_at(blob, 0)
+    if not n:
+        return b""
+    freq, bits, at = table_at(blob, at)
+    return rans_decode(blob[at:], n, freq, bits)
+
+
+def estimate(data: bytes) -> float:
+    """Bytes that an order-0 coder needs for data, its table left out."""
+    count = np.bincount(np.frombuffer(data, np.uint8), minlength=1)
+    count = count[count > 0]
+    return float((count * (np.log2(len(data)) - np.log2(count))).sum() / 8) if len(data) else 0.0
+
+
+def attempt(data: bytes, least: int = 32) -> bytes | None:
+    """The rANS form of data where it is smaller; tried only for least bytes or more of which the estimate, with its table, is smaller too."""
+    if len(data) < least or estimate(data) + 2 * len(set(data)) >= len(data):
+        return None
+    made = coded(data)
+    return made if len(made) < len(data) else None
+
+
+def order1_encode(data: bytes) -> bytes:
+    """Order-1 coding: the bytes that follow each byte are a stream with a table of its own."""
+    streams: dict[int, bytearray] = {}
+    last = 0
+    for x in data:
+        streams.setdefault(last, bytearray()).append(x)
+        last = x
+    out = _varint(len(data)) + _varint(len(streams))
+    for s in sorted(streams):
+        body = coded(bytes(streams[s]))
+        out += bytes([s]) + _varint(len(body)) + body
+    return out
+
+
+def order1_decode(blob: bytes) -> bytes:
+    n, at = _varint_at(blob, 0)
+    k, at = _varint_at(blob, at)
+    streams = {}
+    for _ in range(k):
+        s = blob[at]
+        size, at = _varint_at(blob, at + 1)
+        streams[s] = iter(uncoded(blob[at : at + size]))
+        at += size
+    out, last = bytearray(), 0
+    for _ in range(n):
+        last = next(streams[last])
+        out.append(last)
+    return bytes(out)
+
+
+#: Codec tags of auto_encode.
+PLAIN, RANS, ORDER1, CTW = range(4)
+
+
+def auto_encode(data: bytes, ctw: bool = True) -> bytes:
+    """The smallest of the codecs' forms behind a byte that names it."""
+    made = [bytes([PLAIN]) + data, bytes([RANS]) + coded(data), bytes([ORDER1]) + order1_encode(data)]
+    if ctw and data:
+        made.append(bytes([CTW]) + _varint(len(data)) + ctw_encode(data))
+    return min(made, key=len)
+
+
+def auto_decode(blob: bytes) -> bytes:
+    if not blob:
+        raise ValueError("unexpected end")
+    if blob[0] == PLAIN:
+        return blob[1:]
+    if blob[0] == RANS:
+        return uncoded(blob[1:])
+    if blob[0] == ORDER1:
+        return order1_decode(blob[1:])
+    if blob[0] == CTW:
+        n, at = _varint_at(blob, 1)
+        return ctw_decode(blob[at:], n)
+    raise ValueError(f"unknown codec {blob[0]}")

@@ -1,8 +1,8 @@
 """JSON as relations: canonical form, tokens, flattening, sub-tables and back.
 
 Parsing and canonical form are strict: no trailing content, no numbers outside 64 bits where they
-are integers; duplicate keys are refused. What Spark's VARIANT parser lets through is checked by
-the token walk, which runs per document in Arrow batches.
+are integers; duplicate keys are refused. There is one definition of both, which runs per document in Arrow
+batches, as Spark's own JSON and VARIANT parsers let such texts through.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # fixed values: token kinds
 OBJ_OPEN, OBJ_CLOSE, ARR_OPEN, ARR_CLOSE, KEY, STR, INT, FLOAT, BOOL, NULL = range(10)
@@ -137,18 +138,95 @@ def tokenize(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long"), F.col(json_col)).mapInArrow(run, TOKEN_SCHEMA)
 
 
+def leaves(value):
+    """(path, scalar) of a document, by a walk that no depth can exhaust; arrays add nothing to the path."""
+    stack = [((), value)]
+    while stack:
+        path, v = stack.pop()
+        if isinstance(v, dict):
+            stack.extend(((*path, k), x) for k, x in reversed(v.items()))
+        elif isinstance(v, list):
+            stack.extend((path, x) for x in reversed(v))
+        else:
+            yield path, v
+
+
+def dotted(path: tuple) -> str:
+    """Path as one text; dots and backslashes inside a key are escaped, so that different paths stay different."""
+    return ".".join(k.replace("\\", "\\\\").replace(".", "\\.") for k in path)
+
+
 def flatten(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, path, v): scalars by dotted path, inside the JVM, for objects of up to any depth."""
-    level = df.select(F.col(id_col), F.lit("").alias("path"), F.try_parse_json(json_col).alias("v"))
-    level.createOrReplaceTempView("_flatten_level")
-    return df.sparkSession.sql(f"""
-        WITH RECURSIVE walk AS (
-          SELECT `{id_col}`, path, v FROM _flatten_level
-          UNION ALL
-          SELECT w.`{id_col}`, CASE WHEN e.key IS NULL THEN w.path WHEN w.path = '' THEN e.key ELSE concat(w.path, '.', e.key) END, e.value
-          FROM walk w, LATERAL variant_explode(w.v) e)
-        SELECT `{id_col}`, path, CAST(v AS STRING) AS v FROM walk
-        WHERE NOT (schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%')""")
+    """(id, path, v): scalars by dotted path, parsed strictly; texts that don't parse have no rows. Batches of bounded size, without a shuffle."""
+    kind = df.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            keys, paths, values = [], [], []
+
+            def made(b=b):
+                return pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[id_col, "path", "v"])
+
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    doc = parse(text) if text is not None else {}
+                except BadJson:
+                    continue
+                for path, v in leaves(doc):
+                    keys.append(key)
+                    paths.append(dotted(path))
+                    values.append(v if v is None or isinstance(v, str) else dump(v))
+                    if len(keys) == 1 << 16:
+                        yield made()
+                        keys, paths, values = [], [], []
+            yield made()
+
+    return df.select(id_col, json_col).mapInArrow(run, f"`{id_col}` {kind}, path string, v string")
+
+
+def canonical_json(df: DataFrame, json_col: str, out: str) -> DataFrame:
+    """df with the canonical form of a column of JSON texts; null where a text isn't strict JSON."""
+    types = StructType([*df.schema.fields, StructField(out, StringType())])
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for text in b.column(b.schema.get_field_index(json_col)).to_pylist():
+                try:
+                    made.append(None if text is None else canonical(text))
+                except BadJson:
+                    made.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, types)
+
+
+def item_type(values: list) -> str | None:
+    """What a sub-table's elements are: "scalars", "objects" of one list of keys, else None; an empty one is of scalars."""
+    if all(not isinstance(v, (dict, list)) for v in values):
+        return "scalars"
+    if all(isinstance(v, dict) for v in values) and len({tuple(v) for v in values}) == 1 and values[0]:
+        return "objects"
+    return None
+
+
+def item_types(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, n_items, item_type) of a column of JSON arrays; nulls where a text isn't one."""
+    kind = df.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            n, types = [], []
+            for text in b.column(1).to_pylist():
+                try:
+                    doc = parse(text) if text is not None else None
+                except BadJson:
+                    doc = None
+                n.append(len(doc) if isinstance(doc, list) else None)
+                types.append(item_type(doc) if isinstance(doc, list) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(types, pa.string())], names=[id_col, "n_items", "item_type"])
+
+    return df.select(id_col, json_col).mapInArrow(run, f"`{id_col}` {kind}, n_items long, item_type string")
 
 
 def homogeneous(df: DataFrame, doc_col: str, keys_col: str) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import categorical, entropy, jsonrel, ordered, schema
+from ..operators import categorical, entropy, jsonrel, ordered, schema, tokens
 from ..operators.ordering import with_row_idx
 from ..session import table
-from ..sources import container
+from ..sources import columns, container
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -278,7 +278,7 @@ def timestamp_format(spark, d):
 
 @query("SELECT event_id, CAST(json(props) AS VARCHAR) AS canon FROM events")
 def json_canonical_events(spark, d):
-    return table(spark, d, "events").select("event_id", S.canonical_json(F.col("props")).alias("canon"))
+    return jsonrel.canonical_json(table(spark, d, "events").select("event_id", "props"), "props", "canon").select("event_id", "canon")
 
 
 @query("WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS v FROM events) SELECT event_id, t.pos, t.kind, t.path, t.str_val, CASE WHEN t.pos = 2 THEN v END AS int_val FROM k, (VALUES (0::BIGINT, 0, '', NULL), (1, 4, 'k', 'k'), (2, 6, 'k', NULL), (3, 1, '', NULL)) t(pos, kind, path, str_val)")
@@ -333,10 +333,13 @@ def rows_to_columns(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("row_key"), "o_orderstatus", "o_orderpriority").unpivot("row_key", ["o_orderstatus", "o_orderpriority"], "col", "v")
 
 
-@query("SELECT conv_id, CAST(max(turn) AS BIGINT) AS last_turn, bool_and(role IS NOT NULL) AS whole FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n_items, CASE WHEN conv_id % 3 = 0 THEN 'objects' WHEN conv_id % 3 = 1 THEN 'scalars' WHEN count(*) = 1 THEN 'objects' END AS item_type FROM conversations GROUP BY conv_id")
 def subtable_typing(spark, d):
-    t = jsonrel.to_subtable(table(spark, d, "conversations"), "conv_id", "turn", ["role"])
-    return t.select("conv_id", F.array_max(F.transform("items", lambda x: x["turn"])).cast("long").alias("last_turn"), F.forall("items", lambda x: x["role"].isNotNull()).alias("whole"))
+    # objects of one list of keys, texts, and objects of which the first turn's has a key more
+    more = F.when(F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id")), F.to_json(F.struct("turn", "role", F.lit(1).alias("x")))).otherwise(F.to_json(F.struct("turn", "role")))
+    item = F.when(F.col("conv_id") % 3 == 0, F.to_json(F.struct("turn", "role"))).when(F.col("conv_id") % 3 == 1, S.json_quote(F.col("role"))).otherwise(more)
+    rows = table(spark, d, "conversations").select("conv_id", item.alias("item")).groupBy("conv_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("items"))
+    return jsonrel.item_types(rows, "conv_id", "items")
 
 
 # dictionaries
@@ -566,3 +569,82 @@ def ctw_roundtrip(spark, d):
 @query("SELECT c_custkey, c_name AS text FROM customer")
 def auto_codec_roundtrip(spark, d):
     return container.coded_roundtrip(table(spark, d, "customer"), "c_custkey", "c_name", "auto").select("c_custkey", "text")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN '100' WHEN 3 THEN NULL WHEN 4 THEN '{\"a\":2,\"b\":' || CAST(event_id AS VARCHAR) || '}' WHEN 5 THEN '[' || CAST(event_id AS VARCHAR) || ',1.5]' END AS canon FROM events")
+def json_canonical_mixed(spark, d):
+    n = F.col("event_id").cast("string")
+    made = F.when(F.col("event_id") % 6 == 0, F.lit("1e2")).when(F.col("event_id") % 6 == 1, F.lit("1 2")).when(F.col("event_id") % 6 == 2, F.lit('{"a":1} z')).when(F.col("event_id") % 6 == 3, F.lit("99999999999999999999")).when(F.col("event_id") % 6 == 4, F.concat(F.lit('{"b": '), n, F.lit('.0, "a":2 }'))).otherwise(F.concat(F.lit(" [ "), n, F.lit(" , 1.50]")))
+    return jsonrel.canonical_json(table(spark, d, "events").select("event_id", made.alias("j")), "j", "canon").select("event_id", "canon")
+
+
+@query("SELECT c_custkey, c_name AS text FROM customer")
+def order1_roundtrip(spark, d):
+    return container.coded_roundtrip(table(spark, d, "customer"), "c_custkey", "c_name", "order1").select("c_custkey", "text")
+
+
+@query(f"WITH x AS (SELECT event_id, value_cents, {_ZZ.format('value_cents')} AS z FROM (SELECT event_id, CAST(event_id * 7919 - 3000000 AS BIGINT) AS value_cents FROM events)) SELECT event_id, upper(array_to_string(list_transform(range(0, {_VL.format('z')}), lambda i: lpad(hex((z // CAST(pow(128, i) AS BIGINT)) % 128 + CASE WHEN i < {_VL.format('z')} - 1 THEN 128 ELSE 0 END), 2, '0')), '')) AS bytes, value_cents AS back FROM x")
+def flat_integers(spark, d):
+    v = (F.col("event_id") * 7919 - 3000000).cast("long")
+    made = table(spark, d, "events").select("event_id", S.varint_hex(S.zigzag(v)).alias("bytes"))
+    return made.withColumn("back", S.unzigzag(S.varint_from_hex(F.col("bytes"))))
+
+
+def _cells(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("pos"), "o_custkey", "o_orderstatus", "o_totalprice", "c_name", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
+    return schema.cells_of(rows, "pos", ["o_custkey", "o_orderstatus", "o_totalprice", "c_name", "at"])
+
+
+_CELLS = "SELECT 'o_custkey' AS path, o_orderkey AS pos, 'int' AS kind, CAST(NULL AS VARCHAR) AS str_val, CAST(o_custkey AS BIGINT) AS int_val, CAST(NULL AS DOUBLE) AS float_val FROM oc UNION ALL SELECT 'o_orderstatus', o_orderkey, 'str', o_orderstatus, NULL, NULL FROM oc UNION ALL SELECT 'o_totalprice', o_orderkey, 'float', NULL, NULL, CAST(o_totalprice AS DOUBLE) FROM oc UNION ALL SELECT 'c_name', o_orderkey, 'str', c_name, NULL, NULL FROM oc UNION ALL SELECT 'at', o_orderkey, 'str', strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ'), NULL, NULL FROM oc"
+_OC = "WITH oc AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey) "
+
+
+@query(_OC + _CELLS)
+def schema_token_roundtrip(spark, d):
+    cells = _cells(spark, d)
+    s = tokens.schema_of(cells)
+    return tokens.decode(tokens.encode(cells, s), s)
+
+
+@query(_OC + ", v AS (SELECT o_orderstatus, row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) - 1 AS i FROM oc GROUP BY 1) SELECT 'o_orderstatus' AS path, o_orderkey AS pos, CAST(i AS BIGINT) AS code FROM oc JOIN v USING (o_orderstatus) UNION ALL SELECT 'c_name', o_orderkey, CAST(regexp_extract(c_name, '[0-9]+$') AS BIGINT) FROM oc WHERE (SELECT count(DISTINCT c_name) FROM oc) > 64 UNION ALL SELECT 'at', o_orderkey, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) FROM oc UNION ALL SELECT 'o_custkey', o_orderkey, o_custkey FROM oc")
+def schema_token_codes(spark, d):
+    cells = _cells(spark, d)
+    return tokens.encode(cells, tokens.schema_of(cells)).filter("path <> 'o_totalprice'").select("path", "pos", "code")
+
+
+@query(_OC + "SELECT path, pos, int_val AS code FROM (" + _CELLS + ") WHERE path = 'o_custkey'")
+def token_delta_roundtrip(spark, d):
+    cells = _cells(spark, d)
+    s = tokens.schema_of(cells)
+    return tokens.delta_decode(tokens.delta_encode(tokens.encode(cells, s), s), s).filter("path = 'o_custkey'").select("path", "pos", "code")
+
+
+@query(_OC + ", v AS (SELECT o_orderstatus, row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) - 1 AS i FROM oc GROUP BY 1) SELECT 'o_orderstatus' AS path, CAST(i AS INTEGER) AS place, o_orderstatus AS variant FROM v")
+def schema_variant_places(spark, d):
+    return tokens.variant_places(tokens.schema_of(_cells(spark, d))).filter("path = 'o_orderstatus'")
+
+
+@query("SELECT conv_id % 4 AS part, '[' || string_agg(item, ',' ORDER BY conv_id) || ']' AS text FROM (SELECT conv_id, '{\"conv_id\":' || conv_id || ',\"half\":' || CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id // 2 AS VARCHAR) ELSE CAST(conv_id // 2 AS VARCHAR) || '.5' END || ',\"key\":\"' || md5(CAST(conv_id AS VARCHAR)) || '\",\"turns\":[' || string_agg('{\"role\":\"' || role || '\",\"turn\":' || turn || '}', ',' ORDER BY turn, role) || ']}' AS item FROM conversations GROUP BY conv_id) GROUP BY 1")
+def container_nested_roundtrip(spark, d):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role")))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    made = rows.select("conv_id", F.struct((F.col("conv_id") / 2).alias("half"), "conv_id", F.md5(F.col("conv_id").cast("string").cast("binary")).alias("key"), "turns").alias("r"))
+    docs = made.groupBy((F.col("conv_id") % 4).alias("part")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "r"))), lambda x: x["r"])).alias("json"))
+    return container.decode_documents(container.encode_documents(docs, "part", "json"), "part").select("part", "text")
+
+
+@query("WITH t AS (SELECT kind, value, count(*) AS cnt FROM (SELECT event_id, 4 AS kind, unnest(json_keys(props)) AS value FROM events UNION ALL SELECT event_id, 5, event_type FROM events) GROUP BY 1, 2) SELECT CAST(row_number() OVER (ORDER BY cnt DESC, kind, value) - 1 AS BIGINT) AS dict_id, CAST(kind AS INTEGER) AS kind, value FROM t")
+def dictionary_wire(spark, d):
+    # at most DICT_MOST entries: one row of bytes, and back
+    built = categorical.build(_tokens(spark, d)).agg(F.array_sort(F.collect_list(F.struct("dict_id", "kind", "value"))).alias("entries"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for entries in b.column(0).to_pylist():
+                back = columns.dictionary_from(columns.dictionary_bytes([(e["kind"], e["value"]) for e in entries]))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(back)), pa.int64()), pa.array([k for k, _ in back], pa.int32()), pa.array([v for _, v in back], pa.string())], names=["dict_id", "kind", "value"])
+
+    return built.mapInArrow(run, "dict_id long, kind int, value string")
