@@ -53,7 +53,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Training, exact set joins and merges are beyond SQL; tests hold the stages against brute force on small tables.
+#: Training, exact set joins and merges are beyond SQL; tests check each stage on planted cases.
 ORACLE_SQL = None
 
 
