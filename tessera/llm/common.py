@@ -21,7 +21,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 PART_BYTES = 24 << 20
 
 
+#: Bytes of an Arrow batch sent to a Python worker, of which both sides hold several copies.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless it has a bound of its own; rows over the bound go alone."""
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -48,6 +60,7 @@ def settled(df: DataFrame) -> DataFrame:
     The folder is spark.checkpoint.dir; where none is configured, a local session gets a temporary one (tests) and a cluster is refused.
     """
     spark = df.sparkSession
+    bounded(spark)
     released(spark)
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -64,9 +77,11 @@ def settled(df: DataFrame) -> DataFrame:
 _MALLOC = None
 
 
-def spare() -> None:
-    """Gives a Python worker's free memory back to the system, as idle workers are kept."""
+def spare(*caches: dict) -> None:
+    """Empties caches and gives a Python worker's free memory back to the system, as idle workers are kept."""
     global _MALLOC
+    for c in caches:
+        c.clear()
     if _MALLOC is None:
         try:
             _MALLOC = ctypes.CDLL("libc.so.6").malloc_trim
@@ -152,7 +167,7 @@ def mix(a: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word -> 64-bit hash, remembered for a bounded number of words."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 17
 
     def __missing__(self, word: str) -> int:
         import xxhash

@@ -200,7 +200,7 @@ def prepared(docs: DataFrame, parts: int, words: int, percent: int, chars: int)
                     who = who.astype(np.uint16 if len(use) < 1 << 16 else np.uint32)
                     yield batch(1, part=[p], keys=[pack_sorted(keys[i:j])], at=[pack(who)], ids=[pack_sorted(ids[use].view(np.uint64))])
             del rows, texts, owner, sets, place, both, keys, at
-        spare()
+        spare(hashes)
 
     kinds = {"part": pa.int32(), "keys": pa.binary(), "at": pa.binary(), "ids": pa.binary(), "id": pa.int64(), "n": pa.int64(), "mark": pa.binary(), "sketch": pa.binary()}
 
@@ -279,7 +279,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(len(a) > 0 and 100 * common >= percent * (len(a) + len(b) - common))
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        spare()
+        spare(hashes)
 
     return both.mapInArrow(run, "a long, b long").distinct()
 

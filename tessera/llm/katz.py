@@ -49,7 +49,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, chars: int = BLOCK_CHARS
             row = ([part << 24 | n], [[r[0] for r in rows]], [[r[1] for r in rows]], [pack(lens)], [pack(tokens)], [pack_sorted(vocab)])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "ids", "held", "lens", "tokens", "vocab"])
             n += 1
-        spare()
+        spare(hashes)
 
     held = F.coalesce(crc_mod(F.col(id_col), 7) == 2, F.lit(None))
     return docs.select(F.col(id_col).cast("long").alias("k"), held.alias("h"), F.col(text_col).alias("t")).mapInArrow(run, _BLOCK)

@@ -168,8 +168,7 @@ def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (batch.schema.field("k").type, pa.bool_(), pa.float64(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[id_col, "held_out", "score", "predicted", "offending"])
-        weight.clear()
-        spare()
+        spare(weight)
 
     rows = docs.select(F.col(id_col).alias("k"), (crc_mod(F.col(id_col), 4) == 2).alias("held_out"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,p:double>>")
@@ -184,7 +183,6 @@ def without_toxic(docs: DataFrame, model: dict[str, float], text_col: str = "tex
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([score_text(t or "", weight, bias)[0] < threshold for t in texts], pa.bool_()))
-        weight.clear()
-        spare()
+        spare(weight)
 
     return docs.mapInArrow(run, docs.schema)
