@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import ann, langid, media, toxicity, urls
+from tessera.llm import ann, common, langid, media, toxicity, urls
 from tessera.llm.common import vocab
 
 
@@ -171,3 +171,25 @@ def test_pipeline(spark, tmp_path):
     assert seen[0] == {d[0] for d in docs} - bad
     assert 1000 not in seen[1] and {1, 1001, 1002} <= seen[1] and seen[2] == seen[1]
     assert seen[3] <= seen[2] and seen[4] == seen[3]
+
+
+def test_batches_are_bounded_unless_the_session_bounds_them(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    plain, own = spark.newSession(), spark.newSession()
+    common.bounded(plain)
+    assert plain.conf.get(key) == str(common.BATCH_BYTES)
+    own.conf.set(key, "1000")
+    common.bounded(own)
+    assert own.conf.get(key) == "1000"
+
+
+def test_a_text_larger_than_a_batch_stays_whole(spark):
+    session = spark.newSession()
+    common.bounded(session)
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000")
+    texts = ["a few words", "long " * 2000, "", None]
+    docs = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = toxicity.score(docs, {"": -3.0, "long": 5.0})
+    assert {r["doc_id"] for r in got.collect()} == {0, 1, 2, 3}
+    kept = toxicity.without_toxic(docs, {"": -30.0})
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == dict(enumerate(texts))
