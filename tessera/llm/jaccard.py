@@ -32,17 +32,18 @@ null id link with nothing and have a null component_id. Further input columns ar
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, lower_words, mix, pack, pack_sorted, parts_for, settled, shingles, slices, spare, text_blocks, unpack, unpack_sorted
+from .common import WordHash, lower_words, mix, pack, pack_sorted, parts_for, rows_of, settled, shingles, slices, spare, text_blocks, unpack, unpack_sorted
 
 PERCENT, WORDS, BLOCK_CHARS, SMALL = 80, 5, 4 << 20, 8
 #: Bytes of text that one part of the exchange serves.
 PART_BYTES = 12 << 20
+#: Parts that a task takes one after the other, and groups that it remembers to emit them once.
+TASK_PARTS, KNOWN_GROUPS = 4, 1 << 18
 #: Cells of a sketch an element, at least: fine enough that two differing elements seldom meet in one.
 CELLS = 2
 #: Ids that a broadcast may hold; more of them meet their texts in a shuffle.
@@ -210,16 +211,21 @@ def prepared(docs: DataFrame, parts: int, words: int, percent: int, chars: int)
     return docs.mapInArrow(run, "part int, keys binary, at binary, ids binary, id long, n long, mark binary, sketch binary")
 
 
-def groups(indexed: DataFrame) -> DataFrame:
-    """(mark, members): ids that share a signature, in order; equal groups of a part once."""
+def groups(indexed: DataFrame, parts: int) -> DataFrame:
+    """(mark, members): ids that share a signature, in order; equal groups once.
 
-    def meet(g: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([unpack_sorted(k) for k in g["keys"]])
-        ids = np.concatenate([unpack_sorted(i).view(np.int64)[unpack(a)] for i, a in zip(g["ids"], g["at"], strict=True)])
+    A task takes neighbouring parts one after the other, so that it holds one part's signatures at a time, and
+    emits a group once for all of them; what several tasks made is made equal by its digest.
+    """
+    tasks = -(-parts // TASK_PARTS)
+
+    def shared(blocks: list[tuple]) -> list[np.ndarray]:
+        """The groups of one part's blocks (keys, at, ids)."""
+        keys = np.concatenate([unpack_sorted(k) for k, _, _ in blocks])
+        ids = np.concatenate([unpack_sorted(i).view(np.int64)[unpack(a)] for _, a, i in blocks])
         order = np.argsort(keys, kind="stable")
         keys, ids = keys[order], ids[order]
-        new = np.append(True, keys[1:] != keys[:-1])
-        start = np.flatnonzero(new)
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         count = np.diff(np.append(start, len(keys)))
         many = np.repeat(count > 1, count)
         ids, key = ids[many], np.repeat(np.arange(len(start)), count)[many]
@@ -228,15 +234,41 @@ def groups(indexed: DataFrame) -> DataFrame:
         fresh = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])) if len(ids) else np.empty(0, bool)
         ids, key = ids[fresh], key[fresh]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(ids) else np.empty(0, np.int64)
-        count = np.diff(np.append(start, len(ids)))
-        start, count = start[count > 1], count[count > 1]
-        known: dict[bytes, tuple[int, int]] = {}
-        for a, c in zip(start, count, strict=True):
-            known.setdefault(xxhash.xxh3_128_digest(ids[a : a + c].tobytes()), (a, c))
-        spare()
-        return pd.DataFrame({"mark": list(known), "members": [ids[a : a + c] for a, c in known.values()]})
-
-    made = indexed.groupBy("part").applyInPandas(meet, "mark binary, members array<long>")
+        return [g for g in np.split(ids, start[1:]) if len(g) > 1]
+
+    def meet(batches):
+        known: set[bytes] = set()
+
+        def fresh(blocks: list[tuple]):
+            made = {}
+            for g in shared(blocks):
+                if (mark := xxhash.xxh3_128_digest(g.tobytes())) not in known:
+                    made.setdefault(mark, g)
+                    if len(made) + len(known) > KNOWN_GROUPS:
+                        known.clear()
+            known.update(made)
+            ends = np.cumsum([0, *map(len, made.values())]).tolist()
+            ids = np.concatenate([*made.values(), np.empty(0, np.int64)])
+            marks, step = list(made), 1 << 14
+            for i in range(0, len(marks), step):
+                j = min(i + step, len(marks))
+                lists = pa.ListArray.from_arrays(pa.array(np.array(ends[i : j + 1]) - ends[i], pa.int32()), pa.array(ids[ends[i] : ends[j]]))
+                yield pa.RecordBatch.from_arrays([pa.array(marks[i:j], pa.binary()), lists], names=["mark", "members"])
+
+        of, blocks = None, []
+        for part, *block in rows_of(batches, "part", "keys", "at", "ids"):
+            if part != of and blocks:
+                yield from fresh(blocks)
+                blocks = []
+                spare()
+            of = part
+            blocks.append(block)
+        if blocks:
+            yield from fresh(blocks)
+        spare(known)
+
+    dealt = indexed.repartitionById(tasks, F.floor(F.col("part") * tasks / parts).cast("int")).sortWithinPartitions("part")
+    made = dealt.mapInArrow(meet, "mark binary, members array<long>")
     return made.groupBy("mark").agg(F.first("members").alias("members"))
 
 
@@ -446,14 +478,15 @@ def open_pairs(members: DataFrame, profiles: DataFrame, roots: DataFrame, refuse
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, chars: int = BLOCK_CHARS, most: int = TASK_MEMBERS) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    made = settled(prepared(rows, parts_for(rows, "t", each=PART_BYTES), words, percent, chars))
+    parts = parts_for(rows, "t", each=PART_BYTES)
+    made = settled(prepared(rows, parts, words, percent, chars))
     profiles = made.filter("part is null").select("id", "n", "mark", "sketch")
     # copies of one set stand behind the least of their ids
     copies = profiles.filter("id is not null and n > 0").groupBy("mark").agg(F.min("id").alias("rep"))
     known = settled(profiles.select("id", "n", "mark").join(copies, "mark", "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")))
     usable = known.filter("id is not null and n > 0").select("id", "rep")
     one = settled(profiles.filter("id is not null and n > 0").join(copies, "mark").filter("id = rep").select("rep", "n", "sketch").distinct())
-    grouped = settled(groups(made.filter("part is not null").select("part", "keys", "at", "ids")))
+    grouped = settled(groups(made.filter("part is not null").select("part", "keys", "at", "ids"), parts))
     star = grouped.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, 1 << 30)).alias("b")).distinct()
     texts = rows.filter("id is not null")
     first = settled(may_link(star, usable.join(one, "rep"), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
