@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from tessera.llm import jaccard
+from tessera.llm import common, jaccard
 from tessera.llm.common import lower_words
 
 
@@ -53,3 +54,28 @@ def test_against_brute_force(spark, seed, chars, most):
 
 def test_empty(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_groups_of_many_parts_are_whole_and_made_once(spark):
+    rng, parts = np.random.default_rng(5), 9
+    shared: dict[int, set[int]] = {}
+    rows = []
+    for block in range(4):
+        ids = np.arange(block * 10, block * 10 + 10)
+        keys = np.sort(rng.integers(0, 60, 200).astype(np.uint64) * np.uint64((1 << 64) // 60))
+        at = rng.integers(0, 10, 200).astype(np.uint16)
+        for k, a in zip(keys.tolist(), at.tolist(), strict=True):
+            shared.setdefault(k, set()).add(int(ids[a]))
+        for p, i, j in common.slices(keys, parts):
+            if i < j:
+                rows.append((p, common.pack_sorted(keys[i:j]), common.pack(at[i:j]), common.pack_sorted(ids.view(np.uint64))))
+    # a group that several signatures share, in parts of different tasks
+    for k in range(3, 60, 8):
+        key = np.array([k * ((1 << 64) // 60) + 1], np.uint64)
+        part = next(p for p, i, j in common.slices(key, parts) if i < j)
+        for one in (101, 102, 103):
+            rows.append((part, common.pack_sorted(key), common.pack(np.zeros(1, np.uint16)), common.pack_sorted(np.array([one], np.uint64))))
+    want = sorted({tuple(sorted(v)) for v in shared.values() if len(v) > 1} | {(101, 102, 103)})
+    table = spark.createDataFrame([(p, bytearray(k), bytearray(a), bytearray(i)) for p, k, a, i in rows], "part int, keys binary, at binary, ids binary")
+    assert sorted(tuple(r["members"]) for r in jaccard.groups(table, parts).collect()) == want
+    assert jaccard.groups(table.limit(0), parts).collect() == []
