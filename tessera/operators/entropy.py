@@ -101,11 +101,12 @@ def rans_encode(data: bytes, freq: dict[int, int], bits: int = 12) -> bytes:
 
 
 def rans_decode(blob: bytes, n: int, freq: dict[int, int], bits: int = 12) -> bytes:
-    slots, cum = [], {}
-    for s in sorted(freq):
-        cum[s] = len(slots)
-        slots += [s] * freq[s]
     state, at, mask, low = int.from_bytes(blob[:4], "little"), 4, (1 << bits) - 1, 1 << 23
+    if len(freq) == 1 and state == low and len(blob) == 4:
+        return bytes(freq) * n
+    slots, cum, upto = slot_table(freq, bits), {}, 0
+    for s in sorted(freq):
+        cum[s], upto = upto, upto + freq[s]
     out = bytearray()
     for _ in range(n):
         s = slots[state & mask]
@@ -235,7 +236,7 @@ def _varint(n: int) -> bytes:
     return bytes(out)
 
 
-def _varint_at(b: bytes, at: int) -> tuple[int, int]:
+def varint_at(b: bytes, at: int) -> tuple[int, int]:
     n = shift = 0
     while True:
         if at >= len(b):
@@ -248,11 +249,15 @@ def _varint_at(b: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def slot_table(freq: dict[int, int], bits: int = 12) -> list[int]:
-    """The symbol of every slot; refuses frequencies that are not positive or do not fill all slots."""
+def _fills(freq: dict[int, int], bits: int) -> None:
     if any(f <= 0 for f in freq.values()) or sum(freq.values()) != 1 << bits:
         raise ValueError("frequencies must be positive and fill all slots")
-    return [s for s in sorted(freq) for _ in range(freq[s])]
+
+
+def slot_table(freq: dict[int, int], bits: int = 12) -> bytes:
+    """The symbol of every slot; refuses frequencies that are not positive or do not fill all slots."""
+    _fills(freq, bits)
+    return b"".join(bytes([s]) * freq[s] for s in sorted(freq))
 
 
 def table_bytes(freq: dict[int, int], bits: int = 12) -> bytes:
@@ -271,14 +276,14 @@ def table_at(blob: bytes, at: int = 0) -> tuple[dict[int, int], int, int]:
     bits = blob[at]
     if not 1 <= bits <= 16:
         raise ValueError("bits of a frequency table out of range")
-    n, at = _varint_at(blob, at + 1)
+    n, at = varint_at(blob, at + 1)
     freq, last = {}, -1
     for _ in range(n):
-        gap, at = _varint_at(blob, at)
-        f, at = _varint_at(blob, at)
+        gap, at = varint_at(blob, at)
+        f, at = varint_at(blob, at)
         last += gap + 1
         freq[last] = f + 1
-    slot_table(freq, bits)
+    _fills(freq, bits)
     return freq, bits, at
 
 
@@ -286,6 +291,8 @@ def coded(data: bytes) -> bytes:
     """data as length, frequency table and rANS stream: all that a second process needs."""
     if not data:
         return b"\0"
+    if data.count(data[0]) == len(data):
+        return _varint(len(data)) + table_bytes({data[0]: 1 << 12}) + rans_encode(b"", {})  # a lone symbol leaves the state as it is
     raw: dict[int, int] = {}
     for x in data:
         raw[x] = raw.get(x, 0) + 1
@@ -294,7 +301,7 @@ def coded(data: bytes) -> bytes:
 
 
 def uncoded(blob: bytes) -> bytes:
-    n, at = _varint_at(blob, 0)
+    n, at = varint_at(blob, 0)
     if not n:
         return b""
     freq, bits, at = table_at(blob, at)
@@ -323,21 +330,24 @@ def order1_encode(data: bytes) -> bytes:
     for x in data:
         streams.setdefault(last, bytearray()).append(x)
         last = x
-    out = _varint(len(data)) + _varint(len(streams))
+    out = bytearray(_varint(len(data)) + _varint(len(streams)))
     for s in sorted(streams):
         body = coded(bytes(streams[s]))
-        out += bytes([s]) + _varint(len(body)) + body
-    return out
+        out.append(s)
+        out += _varint(len(body))
+        out += body
+    return bytes(out)
 
 
 def order1_decode(blob: bytes) -> bytes:
-    n, at = _varint_at(blob, 0)
-    k, at = _varint_at(blob, at)
+    n, at = varint_at(blob, 0)
+    k, at = varint_at(blob, at)
     streams = {}
     for _ in range(k):
         s = blob[at]
-        size, at = _varint_at(blob, at + 1)
-        streams[s] = iter(uncoded(blob[at : at + size]))
+        size, at = varint_at(blob, at + 1)
+        body = blob[at : at + size]
+        streams[s] = iter(uncoded(body))
         at += size
     out, last = bytearray(), 0
     for _ in range(n):
@@ -350,12 +360,24 @@ def order1_decode(blob: bytes) -> bytes:
 PLAIN, RANS, ORDER1, CTW = range(4)
 
 
+def smallest(data: bytes, ctw: bytes | None) -> bytes:
+    """The smallest of the codecs' forms behind a byte that names it; ctw: data's ctw_encode, or None to leave that out.
+
+    What cannot be smaller than the plain form is not made: rANS needs 7 bytes and 2 a symbol, order-1 2 and 11 a context.
+    """
+    made = [bytes([PLAIN]) + data]
+    if 7 + 2 * len(set(data)) < len(data):
+        made.append(bytes([RANS]) + coded(data))
+    if 2 + 11 * len(set(data[:-1]) | {0}) < len(data):
+        made.append(bytes([ORDER1]) + order1_encode(data))
+    if ctw is not None and data:
+        made.append(bytes([CTW]) + _varint(len(data)) + ctw)
+    return min(made, key=len)
+
+
 def auto_encode(data: bytes, ctw: bool = True) -> bytes:
     """The smallest of the codecs' forms behind a byte that names it."""
-    made = [bytes([PLAIN]) + data, bytes([RANS]) + coded(data), bytes([ORDER1]) + order1_encode(data)]
-    if ctw and data:
-        made.append(bytes([CTW]) + _varint(len(data)) + ctw_encode(data))
-    return min(made, key=len)
+    return smallest(data, ctw_encode(data) if ctw and data else None)
 
 
 def auto_decode(blob: bytes) -> bytes:
@@ -368,6 +390,6 @@ def auto_decode(blob: bytes) -> bytes:
     if blob[0] == ORDER1:
         return order1_decode(blob[1:])
     if blob[0] == CTW:
-        n, at = _varint_at(blob, 1)
+        n, at = varint_at(blob, 1)
         return ctw_decode(blob[at:], n)
     raise ValueError(f"unknown codec {blob[0]}")
