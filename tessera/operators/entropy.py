@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from pyspark.sql import DataFrame, Window
@@ -323,6 +325,10 @@ def attempt(data: bytes, least: int = 32) -> bytes | None:
     return made if len(made) < len(data) else None
 
 
+#: coded and uncoded of short streams, which are few and come again in text after text.
+_coded, _uncoded = lru_cache(1 << 14)(coded), lru_cache(1 << 14)(uncoded)
+
+
 def order1_encode(data: bytes) -> bytes:
     """Order-1 coding: the bytes that follow each byte are a stream with a table of its own."""
     streams: dict[int, bytearray] = {}
@@ -332,7 +338,7 @@ def order1_encode(data: bytes) -> bytes:
         last = x
     out = bytearray(_varint(len(data)) + _varint(len(streams)))
     for s in sorted(streams):
-        body = coded(bytes(streams[s]))
+        body = _coded(bytes(streams[s])) if len(streams[s]) <= 8 else coded(bytes(streams[s]))
         out.append(s)
         out += _varint(len(body))
         out += body
@@ -347,7 +353,7 @@ def order1_decode(blob: bytes) -> bytes:
         s = blob[at]
         size, at = varint_at(blob, at + 1)
         body = blob[at : at + size]
-        streams[s] = iter(uncoded(body))
+        streams[s] = iter(_uncoded(body) if body[:1] <= b"\x08" else uncoded(body))
         at += size
     out, last = bytearray(), 0
     for _ in range(n):
