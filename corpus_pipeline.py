@@ -6,18 +6,37 @@ last return the columns of documents. Rows with a null id pass the duplicate sta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, mixing, substrings, toxicity
-from tessera.llm.common import read, settled, vocab
+from tessera.llm.common import read, released, settled, vocab
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _afresh(stage: Stage) -> Stage:
+    """The stage, after executors have given back the memory that what ran before made them take."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        released(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_afresh
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or model rejects go."""
     return toxicity.without_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+@_afresh
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the least id stays, and the least row of an id."""
     found = settled(jaccard.join(docs))
@@ -29,17 +48,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return named.groupBy("doc_id").agg(F.min(row).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in kept.columns]).union(kept.filter("doc_id is null"))
 
 
+@_afresh
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat in a document of a smaller id are cut; documents stay, with what is left of them."""
     cut = substrings.without(docs, substrings.passages(docs))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_afresh
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; repeated documents are repeated rows, partly taken ones hold the words taken."""
     return mixing.mixed_texts(docs)
 
 
+@_afresh
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what was mixed."""
     return bpe.encode_decode(docs, vocab("word_bpe_49k.json"))

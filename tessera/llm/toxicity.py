@@ -114,6 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def learn(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("k")
         model = fit(g["t"].fillna("").tolist(), [int(y > 0) for y in g["y"]])
+        spare()
         return pd.DataFrame({"f": list(model), "w": list(model.values())})
 
     got = rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(learn, "f string, w double").collect()
